@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import chat, decontaminate, imatch, jaccard_join, mixing, token_counts, token_output, toxicity
+from corpusweave.llm import chat, decontaminate, imatch, jaccard_join, mixing, pii, quality, token_counts, token_output, toxicity
 from corpusweave.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -43,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,5 +89,5 @@ SELECT o.doc_id, o.item_id, n.n::BIGINT AS n_shingles, o.o::BIGINT AS n_shared F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_output, op3_chat_windows, op4_jaccard_join, op5_imatch, op6_mixing, op7_decontamination, op8_token_counts, op10_toxicity)
+    own = (op1_token_output, op2_pii, op3_chat_windows, op4_jaccard_join, op5_imatch, op6_mixing, op7_decontamination, op8_token_counts, op9_quality, op10_toxicity)
     return {f.__name__: f for f in own}
