@@ -55,7 +55,8 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def word_count(text: Column) -> Column:
-    """Number of runs of anything but ASCII white space; no regular expression: one translate and one split."""
-    flat = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " +"))).cast("long")
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Batches of texts or sets are handed to Python a few rows at a time, as single rows can be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut
+from corpusweave.llm.common import cut, small_batches
 from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, pack48, shingle_hashes, shingle_set, unpack48
 
 #: Shingles of one block of items at most (8 bytes each in a task), as long as no single item has more.
@@ -87,6 +87,7 @@ def _search(items, percent: int, size: int):
 def contained_items(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row for each document and item of which the document holds percent of the distinct shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     sets = cut(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_sets(size), "item_id long, shingles binary, n long").where("n > 0"), "item-sets")
     total = sets.agg(F.sum("n")).first()[0]
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut, n_parts
+from corpusweave.llm.common import cut, n_parts, small_batches
 from corpusweave.llm.shingles import words_of
 
 IDF_LOW = 2.5
@@ -163,6 +163,7 @@ def _edged(rows: list[list], edge: list[tuple], part: int) -> pa.RecordBatch:
 def fingerprints(docs: DataFrame, *, low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame:
     """Per document: its fingerprint, that of the text with its last half replaced by the next document's begin, and likenesses."""
     spark = docs.sparkSession
+    small_batches(spark)
     terms = spark.sparkContext.broadcast(lexicon(docs, low, high))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]

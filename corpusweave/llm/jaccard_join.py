@@ -18,21 +18,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut, forget, n_parts
+from corpusweave.llm.common import cut, forget, n_parts, small_batches
 from corpusweave.llm.components import connected_components
 from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, pack48, shingle_set, unpack48
 
 #: A common shingle is one seen this often within one task; the list only orders shingles, it never drops one.
-LOCAL_COMMON = 3
-COMMON_LIST = 1 << 18
+LOCAL_COMMON = 2
+COMMON_LIST = 1 << 19
 FLUSH = 2_000_000
 #: Node lists up to this many ids (8 bytes each) are broadcast, longer ones are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
-SET_SCHEMA = "doc_id long, n int, node long, shingles binary, common binary, counts binary"
+#: Pivot rounds end when few pairs of different components are left for the rows, when a round hardly lessened them, or by number.
+PAIRS_PER_ROW = 1
+GAIN = 0.8
+PIVOT_ROUNDS = 12
+#: 64-bit words of the parity bit map of a set. Each element flips one bit, so two maps differ in at most as many bits as
+#: their sets differ in elements: a filter that never loses a link.
+PARITY_WORDS = 8
+SET_SCHEMA = "doc_id long, n int, node long, shingles binary, parity array<long>, common binary, counts binary"
 
 
 def _sets(size: int):
@@ -44,22 +50,24 @@ def _sets(size: int):
         def common() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL_COMMON
-            return _batch([None], [None], [None], [None], [keys[often].astype("<u8").tobytes()], [counts[often].astype("<u4").tobytes()])
+            return _batch([None], [None], [None], [None], [None], [keys[often].astype("<u8").tobytes()], [counts[often].astype("<u4").tobytes()])
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            ns, nodes, packed = [], [], []
+            ns, nodes, packed, parity = [], [], [], []
             for text in texts:
                 s = shingle_set(text.as_py(), size)
                 ns.append(len(s))
                 node = int((((s * np.uint64(0xD6E8FEB86659FD93)) ^ (s >> np.uint64(21))) * np.uint64(0xFF51AFD7ED558CCD)).sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 % 2**64)) if len(s) else 0
                 nodes.append(node - 2**64 if node >= 2**63 else node)
                 packed.append(pack48(s))
+                odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
                 if node and node not in seen:
                     seen.add(node)
                     held.append(s)
                     total += len(s)
-            yield _batch(ids, ns, nodes, packed, [None] * len(ids), [None] * len(ids))
+            yield _batch(ids, ns, nodes, packed, parity, [None] * len(ids), [None] * len(ids))
             if total >= FLUSH:
                 yield common()
                 held, seen, total = [], set(), 0
@@ -69,10 +77,10 @@ def _sets(size: int):
     return run
 
 
-def _batch(ids, ns, nodes, packed, common, counts) -> pa.RecordBatch:
+def _batch(ids, ns, nodes, packed, parity, common, counts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary()), pa.array(common, pa.binary()), pa.array(counts, pa.binary())],
-        ["doc_id", "n", "node", "shingles", "common", "counts"],
+        [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary()), pa.array(parity, pa.list_(pa.int64())), pa.array(common, pa.binary()), pa.array(counts, pa.binary())],
+        ["doc_id", "n", "node", "shingles", "parity", "common", "counts"],
     )
 
 
@@ -151,22 +159,18 @@ def _kept(tab: pa.Table, all_shared: bool) -> pa.Table:
     return tab.filter(pa.array(mates | (tab.column("often").to_numpy() > 0)))
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            inter, union = [], []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                p, q = unpack48(x.as_py()), unpack48(y.as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                inter.append(both)
-                union.append(len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(inter, pa.int32()), pa.array(union, pa.int32())], ["a", "b", "inter", "joined"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        inter, union = [], []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+            p, q = unpack48(x.as_py()), unpack48(y.as_py())
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            inter.append(both)
+            union.append(len(p) + len(q) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int32()), pa.array(union, pa.int32())], ["a", "b", "inter", "joined"])
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with the sizes of intersection and union of their sets."""
     needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-need")
     bounded = needed.count() <= BROADCAST_NODES
@@ -174,7 +178,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = cut(own, "jaccard-own")
     parts = n_parts(pairs.sparkSession)
     rows = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").repartition(parts, "b").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    out = cut(rows.mapInArrow(_verify(percent), "a long, b long, inter int, joined int"), "jaccard-measured")
+    out = cut(rows.mapInArrow(_verify, "a long, b long, inter int, joined int"), "jaccard-measured")
     forget(own)
     forget(needed)
     return out
@@ -183,6 +187,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set)."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = n_parts(spark)
     made = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_sets(size), SET_SCHEMA), "jaccard-sets")
     sets = made.where("n is not null").select("doc_id", "n", "node", "shingles")
@@ -196,30 +201,43 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.repartition(parts, "key", F.when(F.col("often") > 0, F.pmod("node", F.lit(1 << 16)))).sortWithinPartitions("key", "node")
     regions = cut(rows.mapInArrow(_shared, "key long, node long, n int, often int").select("key", "node", "n"), "jaccard-regions")
 
-    # Voronoi step: the pivot of a region is its least node; a document's nearest pivot is the one it shares most regions with.
-    pivots = regions.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"))
-    near = regions.join(pivots, "key").where(F.col("node") != F.col("p.node")).where(_sizes_fit("n", "p.n", percent))
-    near = near.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    near = near.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"), F.first("n").alias("n")).where(F.col("best.c") * 40 >= F.col("n"))
-    stars = cut(_measured(near.select(F.col("node").alias("a"), F.col("best.pivot").alias("b")), sets, percent), "jaccard-stars")
-    edges = stars.where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
-    comps = cut(connected_components(edges), "jaccard-comps")
-
-    # Recursion: only pairs of different components are left. d is the distance to the pivot that both were measured against.
-    delta = stars.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("joined")).alias("d"))
-    own = regions.select("node").distinct().join(comps, "node", "left").join(delta, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "pivot", "d")
-    tagged = cut(regions.join(own, "node"), "jaccard-tagged")
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = tagged.join(mixed, "key", "left_semi")
+    # Voronoi rounds: each region has a pivot (its least node in an order that changes by round); a document's nearest pivot
+    # is the one it shares most regions with, and is measured exactly. Regions inside one component are done.
+    stars, last = None, float("inf")
+    tagged = regions.withColumn("comp", F.col("node"))
+    for turn in range(PIVOT_ROUNDS):
+        pivots = tagged.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "comp")).alias("p"))
+        near = tagged.join(pivots, "key").where(F.col("comp") != F.col("p.comp")).where(_sizes_fit("n", "p.n", percent))
+        near = near.groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        near = near.groupBy("node").agg(F.max(F.struct("c", "pivot")).alias("best"), F.first("n").alias("n")).where(F.col("best.c") * 40 >= F.col("n"))
+        measured = _measured(near.select(F.col("node").alias("a"), F.col("best.pivot").alias("b")), sets).withColumn("turn", F.lit(turn))
+        stars = measured if stars is None else stars.union(measured)
+        edges = stars.where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
+        comps = connected_components(edges)
+        whole = regions.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        mixed = whole.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
+        mixed = cut(mixed, "jaccard-mixed")
+        left_pairs, left_rows = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.sum("rows")).first()
+        tagged = cut(whole.join(mixed.select("key"), "key", "left_semi"), "jaccard-tagged")
+        if not left_pairs or left_pairs <= PAIRS_PER_ROW * left_rows or left_pairs > GAIN * last:
+            break
+        last = left_pairs
+
+    # What is left: pairs of different components, within the windows d(x,p) of a pivot that both were measured against.
+    delta = stars.where("turn = 0").select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("joined")).alias("d"))
+    bits = made.where("n is not null").select("node", *[F.get("parity", F.lit(i)).alias(f"b{i}") for i in range(PARITY_WORDS)]).join(tagged.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    left = tagged.join(delta, "node", "left").join(bits, "node")
     x, y = left.alias("x"), left.alias("y")
     window = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.d") - F.col("y.d")) * 100 <= 100 - percent + 1e-6), F.lit(True))
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    window = window & (differ <= F.col("x.n") + F.col("y.n") - 2 * F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n", percent) & window)
     pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
     # Overlap <= shared prefix shingles + what lies behind the shorter prefix; it must reach t / (1 + t) of both sizes.
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
     behind = F.ceil(percent * F.greatest("na", "nb") / 100 - 1e-9) - 1
     rest = pairs.where(F.col("c") + behind >= need).select("a", "b").join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
-    late = _measured(cut(rest, "jaccard-rest"), sets, percent).where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
+    late = _measured(cut(rest, "jaccard-rest"), sets).where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
     final = cut(connected_components(edges.union(late)), "jaccard-final")
 
     classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id")).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

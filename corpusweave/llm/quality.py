@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut
+from corpusweave.llm.common import cut, small_batches
 
 #: The first seven say "low" or abstain, the last two say "fine" or abstain.
 HEURISTICS = ("capitals", "marked_words", "odd_characters", "bare_symbols", "table", "repeated_lines", "repeated_words", "prose", "steady")
@@ -140,6 +140,7 @@ class QualityModel:
 
 def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Votes of all documents fit the label model; the sample fits the scorer."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string"))
     found = rows.mapInArrow(_read(False), READ).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
     if not found:

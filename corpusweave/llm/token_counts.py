@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm.common import small_batches
+
 CHUNK_CHARS = 1 << 16
 LIMIT = 2048
 _TABLE_ROWS = 300_000
@@ -89,6 +91,7 @@ def transducer(path: str) -> CountTransducer:
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut, forget, n_parts, shared_dir
+from corpusweave.llm.common import cut, forget, n_parts, shared_dir, small_batches
 
 END_ID = 0
 MAX_LEN = 16
@@ -247,6 +247,7 @@ def _write_blocks(book, width: str):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = END_ID, max_len: int = MAX_LEN) -> str:
     """Tokenizes every whole text once, counts ids over all documents, and writes codebook/ and blocks/ under path."""
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = max(encoder(tokenizer).tok.get_vocab_size(), end_id + 1)
     width = _width(tokenizer)
     ids = cut(tokenize(docs, tokenizer, end_id), "token-ids")
@@ -295,6 +296,7 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, dict[
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Decodes the files: doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian uint32) of every document."""
+    small_batches(spark, 20)
     blocks, lengths, starts = read_blocks(spark, path)
     return blocks.mapInArrow(_digest(spark.sparkContext.broadcast(lengths), starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -27,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut, forget
+from corpusweave.llm.common import cut, forget, small_batches
 
 TRAIN_ROWS = 20_000
 FEW = 300
@@ -126,6 +126,7 @@ class Features:
 
 def features(rows: DataFrame, terms: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of keep, and x: the features as an array."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(terms)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
 
