@@ -13,8 +13,11 @@ are all written (ties in the order of their tokens); extra columns are ignored;
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,51 +32,92 @@ END_ID = 0
 MAX_LEN = 16
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 17
-_CACHE_PIECES = 300_000
+_CACHE_PIECES = 350_000
+_ODD_SPACE = re.compile(r"[^\S \n]")
 _TOKENIZERS: dict = {}
 
 
+def byte_level() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 and up, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_BYTE_LEVEL = byte_level()
+
+
 class PieceEncoder:
     """Ids of a byte-level BPE file of the tokenizers library, as little-endian uint32 bytes.
 
-    The library's pre-tokenizer never joins text across a single space or line break between other characters, so each such
-    piece is encoded by the library once and kept in a bounded cache; texts with any other white space or special strings go
-    to the library whole.
+    The library's byte-level pre-tokenizer never joins text across a single space or line break between other characters, nor a
+    run of letters with what follows it. So such pieces go to the library's BPE model by themselves, once each, and are kept
+    in a bounded cache of two generations; texts with any other white space or special strings go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.size = self.tok.get_vocab_size()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.newline = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _miss(self, pieces: set[str]) -> None:
-        if len(self.cache) > _CACHE_PIECES:
-            self.cache.clear()
-        order = list(pieces)
-        for piece, enc in zip(order, self.tok.encode_batch_fast(order, add_special_tokens=False)):
-            self.cache[piece] = np.array(enc.ids, "<u4").tobytes()
+        parts = json.loads(self.tok.to_str())
+        split = parts["pre_tokenizer"] or {}
+        self.by_pieces = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        #: Ids of pieces at the start of a line, and of pieces behind a space (kept without it).
+        self.first, self.spaced = PieceCache(self._first), PieceCache(self._spaced)
+        self.newline = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        written = word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [t.id for t in self.tok.model.tokenize(written)]).tobytes()
+
+    def _first(self, piece: str) -> bytes:
+        return self._word(piece) if piece.isalpha() else self._whole(piece)
+
+    def _spaced(self, piece: str) -> bytes:
+        """Letters, or letters and one mark behind them, or anything else through the whole library."""
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if piece[-1] in ",.;:!?" and piece[:-1].isalpha():
+            return self.spaced[piece[:-1]] + self.first[piece[-1]]
+        return self._whole(" " + piece)
 
     def encode(self, text: str) -> bytes:
-        plain = text.replace("\n", " ")
-        if not text or "  " in plain or plain[0] == " " or plain[-1] == " " or any(s in text for s in self.special) or len(plain.split()) != plain.count(" ") + 1:
-            return self._ids(text) if text else b""
-        pieces = [" " + w for w in text.replace("\n", " \n").split(" ")]
-        # a first word has no space before it; after a line break neither
-        pieces[0] = pieces[0][1:]
-        if "\n" in text:
-            pieces = [p if p[:2] != " \n" else p[1:] for p in pieces]
-        get = self.cache.get
-        found = list(map(get, pieces))
-        if None in found:
-            self._miss({p for p, f in zip(pieces, found) if f is None})
-            found = [f if f is not None else self.cache[p] for p, f in zip(pieces, found)]
-        return b"".join(found)
+        if not text:
+            return b""
+        if not self.by_pieces or _ODD_SPACE.search(text) or any(s in text for s in self.special):
+            return self._whole(text)
+        out = []
+        spaced = self.spaced.__getitem__
+        for line in text.split("\n"):
+            words = line.split(" ")
+            if "" in words:  # spaces side by side, at an end, or an empty line
+                return self._whole(text)
+            out.append(self.newline)
+            out.append(self.first[words[0]])
+            out.extend(map(spaced, words[1:]))
+        return b"".join(out[1:])
+
+
+class PieceCache(dict):
+    """Values made on demand; of the pieces made before the last _CACHE_PIECES, those used since are kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.pop(piece, None)
+        if found is None:
+            found = self.make(piece)
+        if len(self) >= _CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -91,7 +135,7 @@ def _tokenize(path: str, end_id: int):
             ids = []
             for t in batch.column(1):
                 raw = np.frombuffer(enc.encode(t.as_py() or "") + end, "<u4")
-                ids.append(raw.astype("<u2").tobytes() if enc.tok.get_vocab_size() <= 65536 else raw.tobytes())
+                ids.append(raw.astype("<u2").tobytes() if enc.size <= 65536 else raw.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
@@ -103,7 +147,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
 
 
 def _width(tokenizer: str) -> str:
-    return "<u2" if encoder(tokenizer).tok.get_vocab_size() <= 65536 else "<u4"
+    return "<u2" if encoder(tokenizer).size <= 65536 else "<u4"
 
 
 def _counts(width: str, vocabulary: int):
@@ -248,7 +292,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     """Tokenizes every whole text once, counts ids over all documents, and writes codebook/ and blocks/ under path."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocabulary = max(encoder(tokenizer).tok.get_vocab_size(), end_id + 1)
+    vocabulary = max(encoder(tokenizer).size, end_id + 1)
     width = _width(tokenizer)
     ids = cut(tokenize(docs, tokenizer, end_id), "token-ids")
     rows = ids.select("ids").mapInArrow(_counts(width, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
