@@ -31,7 +31,7 @@ def bounds(rows: DataFrame, *, by: str, start: str, out: str = "next_start") ->
 
 def parents(items: DataFrame, *, by: str, pos: str, depth: str, most: int = 16) -> DataFrame:
     """parent_pos: the last earlier item with a smaller depth. One running maximum per depth level, no self-join."""
-    w = Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(by).orderBy(pos).rangeBetween(Window.unboundedPreceding, -1)
     seen = [F.max(F.when(F.col(depth) == d, F.col(pos))).over(w) for d in range(most)]
     rows = items.withColumn("_seen", F.array(*seen))
     return rows.withColumn("parent_pos", F.array_max(F.slice("_seen", 1, F.least(F.greatest(F.col(depth), F.lit(0)), F.lit(most))))).drop("_seen")
