@@ -85,7 +85,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat one doc_id each come as often as all of them together are taken on average.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("times")).where("times >= 0.5")
-    copies = copies.select(F.col("doc_id").alias("_mixed_id"), F.floor(F.col("times") + 0.5).cast("int").alias("_mixed_times"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mixed_id"))).withColumn("_mixed_copy", F.explode(F.sequence(F.lit(1), F.col("_mixed_times"))))
-    return out.drop("_mixed_id", "_mixed_times", "_mixed_copy")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("times")).where("times >= 0.5")
+    copies = copies.select(F.col("doc_id").alias("id"), F.floor(F.col("times") + 0.5).cast("int").alias("n"))
+    rows = docs.select(F.struct("*").alias("row"))  # no name of docs can clash
+    out = rows.join(copies, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return out.select("row.*")

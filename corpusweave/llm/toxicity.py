@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from corpusweave.llm.common import cut, forget, small_batches
 
@@ -124,19 +126,22 @@ class Features:
         ]
 
 
-def features(rows: DataFrame, terms: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of keep, and x: the features as an array."""
+def features(rows: DataFrame, terms: list[str], keep: list[str], text: str = "text") -> DataFrame:
+    """The columns of keep, and x: the features of the text, a string column or a field ("row.text") of a kept struct."""
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(terms)
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+    inside = text.split(".", 1)[1] if "." in text else None
+    given = rows.select(*keep) if inside else rows.select(*keep, F.col(text).cast("string").alias("__text"))
+    schema = StructType([*given.select(*keep).schema, StructField("x", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(shared.value)
         for batch in batches:
-            x = pa.array([made.vector(t.as_py() or "") for t in batch.column(len(keep))], pa.list_(pa.float64()))
+            texts = pc.struct_field(batch.column(0), inside) if inside else batch.column(len(keep))
+            x = pa.array([made.vector(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], x], [*keep, "x"])
 
-    return rows.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, x array<double>")
+    return given.mapInArrow(run, schema)
 
 
 class ToxicityModel:
@@ -145,10 +150,10 @@ class ToxicityModel:
     def __init__(self, terms: list[str], trees=None, calibration=None, rate: float = 0.0):
         self.terms, self.trees, self.calibration, self.rate = terms, trees, calibration, rate
 
-    def scored(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+    def scored(self, rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         if self.trees is None:
             return rows.select(*keep).withColumn("score", F.lit(float(self.rate)))
-        x = features(rows, self.terms, keep)
+        x = features(rows, self.terms, keep, text)
         raw = _raw(self.trees, x)
         return self.calibration.transform(raw).select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
@@ -197,5 +202,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """docs whose score is under the threshold, all columns kept."""
     model = fit(train_docs if train_docs is not None else docs, labels)
-    scored = model.scored(docs, docs.columns)
-    return scored.where(F.col("score") < threshold).drop("score")
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"))
+    return model.scored(rows, ["row"], "row.text").where(F.col("score") < threshold).select("row.*")
