@@ -31,8 +31,9 @@ COMMON_LIST = 1 << 19
 FLUSH = 2_000_000
 #: Node lists up to this many ids (8 bytes each) are broadcast, longer ones are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
-#: Pivot rounds end when few pairs of different components are left for the rows, when a round hardly lessened them, or by number.
-PAIRS_PER_ROW = 1
+#: Pivot rounds end when the pairs of different components left are few for the rows (a join of that size costs less than a
+#: round), when a round hardly lessened them, or by number.
+PAIRS_PER_ROW = 128
 GAIN = 0.8
 PIVOT_ROUNDS = 12
 #: 64-bit words of the parity bit map of a set. Each element flips one bit, so two maps differ in at most as many bits as
@@ -172,15 +173,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with the sizes of intersection and union of their sets."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-need")
-    bounded = needed.count() <= BROADCAST_NODES
-    own = sets.join(F.broadcast(needed) if bounded else needed, "node", "left_semi").dropDuplicates(["node"])
-    own = cut(own, "jaccard-own")
+    pairs = cut(pairs.select("a", "b"), "jaccard-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bounded = 2 * pairs.count() <= BROADCAST_NODES
+    own = cut(sets.join(F.broadcast(needed) if bounded else needed, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles"), "jaccard-own")
     parts = n_parts(pairs.sparkSession)
     rows = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").repartition(parts, "b").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     out = cut(rows.mapInArrow(_verify, "a long, b long, inter int, joined int"), "jaccard-measured")
     forget(own)
-    forget(needed)
+    forget(pairs)
     return out
 
 
@@ -214,11 +215,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         stars = measured if stars is None else stars.union(measured)
         edges = stars.where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
         comps = connected_components(edges)
-        whole = regions.join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        whole = cut(tagged.drop("comp").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-whole")
         mixed = whole.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
         mixed = cut(mixed, "jaccard-mixed")
         left_pairs, left_rows = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.sum("rows")).first()
         tagged = cut(whole.join(mixed.select("key"), "key", "left_semi"), "jaccard-tagged")
+        forget(whole)
         if not left_pairs or left_pairs <= PAIRS_PER_ROW * left_rows or left_pairs > GAIN * last:
             break
         last = left_pairs
@@ -237,7 +239,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
     behind = F.ceil(percent * F.greatest("na", "nb") / 100 - 1e-9) - 1
     rest = pairs.where(F.col("c") + behind >= need).select("a", "b").join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
-    late = _measured(cut(rest, "jaccard-rest"), sets).where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
+    late = _measured(rest, sets).where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
     final = cut(connected_components(edges.union(late)), "jaccard-final")
 
     classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id")).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
