@@ -27,7 +27,7 @@ from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, pack48,
 
 #: A common shingle is one seen this often within one task; the list only orders shingles, it never drops one.
 LOCAL_COMMON = 2
-COMMON_LIST = 1 << 19
+COMMON_LIST = 1 << 18
 FLUSH = 2_000_000
 #: Node lists up to this many ids (8 bytes each) are broadcast, longer ones are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
@@ -92,13 +92,13 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(common, percent: int):
-    """Rows (key, node, n, often) for the first shingles of each distinct set in the order (commonness, hash)."""
+    """Rows (key, node, n, pos, often) for the first shingles of each distinct set in the order (commonness, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = common.value
         seen: set[int] = set()
         for batch in batches:
-            out_key, out_node, out_n, out_often = [], [], [], []
+            out_key, out_node, out_n, out_pos, out_often = [], [], [], [], []
             for n, node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if not n or node in seen:
                     continue
@@ -116,10 +116,11 @@ def _prefixes(common, percent: int):
                         s, often = s[order], c[order].astype(np.int32)
                 out_key.append(s[:p])
                 out_n.append(np.full(p, n, np.int32))
+                out_pos.append(np.arange(p, dtype=np.int32))
                 out_node.append(np.full(p, node, np.int64))
                 out_often.append(often[:p])
             if out_key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (np.concatenate(out_key).astype(np.int64)[None], np.concatenate(out_node)[None], np.concatenate(out_n)[None], np.concatenate(out_often)[None])], ["key", "node", "n", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key).astype(np.int64)), *[pa.array(np.concatenate(x)) for x in (out_node, out_n, out_pos, out_often)]], ["key", "node", "n", "pos", "often"])
 
     return run
 
@@ -198,9 +199,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     common = spark.sparkContext.broadcast((often["key"].to_numpy(np.uint64), often["cnt"].to_numpy(np.int64)))
 
     # Regions: common shingles are spread over salts here, as they are shared for certain and need no counting.
-    rows = sets.select("n", "node", "shingles").mapInArrow(_prefixes(common, percent), "key long, node long, n int, often int")
+    rows = sets.select("n", "node", "shingles").mapInArrow(_prefixes(common, percent), "key long, node long, n int, pos int, often int")
     rows = rows.repartition(parts, "key", F.when(F.col("often") > 0, F.pmod("node", F.lit(1 << 16)))).sortWithinPartitions("key", "node")
-    regions = cut(rows.mapInArrow(_shared, "key long, node long, n int, often int").select("key", "node", "n"), "jaccard-regions")
+    regions = cut(rows.mapInArrow(_shared, "key long, node long, n int, pos int, often int").select("key", "node", "n", "pos"), "jaccard-regions")
 
     # Voronoi rounds: each region has a pivot (its least node in an order that changes by round); a document's nearest pivot
     # is the one it shares most regions with, and is measured exactly. Regions inside one component are done.
@@ -215,7 +216,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         stars = measured if stars is None else stars.union(measured)
         edges = stars.where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
         comps = connected_components(edges)
-        whole = cut(tagged.drop("comp").join(comps, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp")), "jaccard-whole")
+        whole = cut(tagged.drop("comp").join(comps, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp")), "jaccard-whole")
         mixed = whole.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
         mixed = cut(mixed, "jaccard-mixed")
         left_pairs, left_rows = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("own")) / 2), F.sum("rows")).first()
@@ -232,13 +233,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     x, y = left.alias("x"), left.alias("y")
     window = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.d") - F.col("y.d")) * 100 <= 100 - percent + 1e-6), F.lit(True))
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
-    window = window & (differ <= F.col("x.n") + F.col("y.n") - 2 * F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9))
+    # need: the overlap that makes a link. The first region a pair shares leaves room for it behind both places.
+    need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9)
+    window = window & (differ <= F.col("x.n") + F.col("y.n") - 2 * need) & (F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n", percent) & window)
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-    # Overlap <= shared prefix shingles + what lies behind the shorter prefix; it must reach t / (1 + t) of both sizes.
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
-    behind = F.ceil(percent * F.greatest("na", "nb") / 100 - 1e-9) - 1
-    rest = pairs.where(F.col("c") + behind >= need).select("a", "b").join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
+    rest = pairs.select("a", "b").join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
     late = _measured(rest, sets).where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
     final = cut(connected_components(edges.union(late)), "jaccard-final")
 
