@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut", parts: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", parts: int | None = None, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if parts is None else df.coalesce(parts)).write.mode("overwrite").parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

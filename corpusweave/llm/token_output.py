@@ -294,7 +294,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     small_batches(spark)
     vocabulary = max(encoder(tokenizer).size, end_id + 1)
     width = _width(tokenizer)
-    ids = cut(tokenize(docs, tokenizer, end_id), "token-ids")
+    ids = cut(tokenize(docs, tokenizer, end_id), "token-ids", codec="zstd")
     rows = ids.select("ids").mapInArrow(_counts(width, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(vocabulary, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
