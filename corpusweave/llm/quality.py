@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,7 @@ HEURISTICS = ("capitals", "marked_words", "odd_characters", "bare_symbols", "tab
 SAMPLE_ROWS = 10_000
 DIM = 1 << 12
 _CACHE = 200_000
+_ODD = np.frombuffer(b"|#$%&*@~^_=<>{}[]\\!", np.uint8)
 _SYMBOL_END = re.compile(r"[^\w\s.,;:!?'\")\]}»”’%-]{2,}$|!!+$|\?\?+$")
 
 
@@ -38,48 +38,58 @@ class Reader:
     """Votes and hashed features of a text, through a bounded cache of word shapes."""
 
     def __init__(self):
-        self.cache: dict[str, tuple[int, int]] = {}
-
-    def _word(self, w: str) -> tuple[int, int]:
-        """Bits: upper, symbol end, table bar, digit; and the feature of the word's shape."""
-        bits = (len(w) > 1 and w.isupper()) | bool(_SYMBOL_END.search(w)) << 1 | (not any(c.isalnum() for c in w)) << 2 | any(c.isdigit() for c in w) << 3
-        shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", w))[:12]
+        self.cache: dict[str, int] = {}
+
+    def _word(self, w: str) -> int:
+        """Bits 0-3: upper, symbol end, no letter or digit, digit; above: the feature of the word's shape."""
+        if w.isalpha():
+            upper = len(w) > 1 and w.isupper()
+            bits, shape = int(upper), "A" if upper else "a"
+        else:
+            bits = (len(w) > 1 and w.isupper()) | bool(_SYMBOL_END.search(w)) << 1 | (not any(map(str.isalnum, w))) << 2 | any(map(str.isdigit, w)) << 3
+            shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", w))[:12]
         if len(self.cache) > _CACHE:
             self.cache.clear()
-        out = (bits, xxhash.xxh32_intdigest(shape) % (DIM - 64) + 64)
+        out = bits | (xxhash.xxh32_intdigest(shape) % (DIM - 64) + 64) << 4
         if len(w) <= 64:
             self.cache[w] = out
         return out
 
-    def read(self, text: str) -> tuple[list[int | None], dict[int, float]]:
+    def read(self, text: str, with_features: bool = True) -> tuple[list[int | None], tuple[np.ndarray, np.ndarray]]:
+        """Votes, and the features' places and values (empty if not asked for)."""
         words = text.split()
         n, chars = len(words), len(text)
-        get = self.cache.get
-        own = [get(w) or self._word(w) for w in words]
-        bits = np.array([b for b, _ in own], np.uint8)
-        upper, ends, bare, digit = (int(np.count_nonzero(bits & (1 << k))) for k in range(4))
+        codes = list(map(self.cache.get, words))
+        if None in codes:
+            codes = [self._word(w) if c is None else c for c, w in zip(codes, words)]
+        codes = np.array(codes, np.int32)
+        upper, ends, bare, digit = (int(np.count_nonzero(codes & (1 << k))) for k in range(4))
+        seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         lines = [x for x in text.split("\n") if x.strip()]
         line_repeat = 1 - len(set(lines)) / len(lines) if lines else 0.0
         distinct = len(set(words)) / n if n else 1.0
         mean = (chars - n) / n if n else 0.0
-        odd = sum(map(text.count, "|#$%&*@~^_=<>{}[]\\!")) / chars if chars else 0.0
+        odd = float(seen[_ODD].sum()) / chars if chars else 0.0
+        bars = int(seen[ord("|")])
         says = lambda vote, when: vote if when else None
         votes = [
             says(1, n and upper > 0.4 * n),
             says(1, n and ends > 0.25 * n),
             says(1, odd > 0.04),
             says(1, n and bare > 0.12 * n),
-            says(1, n and text.count("|") > 0.1 * n),
+            says(1, n and bars > 0.1 * n),
             says(1, len(lines) > 1 and line_repeat > 0.4),
             says(1, n > 20 and distinct < 0.3),
             says(0, n and odd < 0.01 and ends + bare + digit < 0.1 * n and upper < 0.2 * n and mean <= 12 and (distinct > 0.3 or n <= 20)),
             says(0, odd < 0.02 and upper < 0.3 * n and distinct > 0.45 and line_repeat < 0.2),
         ]
-        shapes = Counter(f for _, f in own)
-        x = {k: math.log1p(c) / math.log1p(n) for k, c in shapes.items()}
-        dense = (upper, ends, bare, digit)
-        x |= {i: v / n for i, v in enumerate(dense) if v} | {8: 1.0, 9: math.log1p(n) / 10, 10: line_repeat, 11: 1 - distinct, 12: min(mean, 30) / 10}
-        return votes, x
+        if not with_features:
+            return votes, (np.empty(0, np.int32), np.empty(0))
+        shapes, counts = np.unique(codes >> 4, return_counts=True)
+        dense = np.array([upper, ends, bare, digit]) / max(n, 1)
+        at = np.concatenate([[0, 1, 2, 3, 8, 9, 10, 11, 12], shapes]).astype(np.int32)
+        x = np.concatenate([dense, [1.0, math.log1p(n) / 10, line_repeat, 1 - distinct, min(mean, 30) / 10], np.log1p(counts) / math.log1p(max(n, 1))])
+        return votes, (at, x)
 
 
 def _read(with_features: bool):
@@ -88,10 +98,10 @@ def _read(with_features: bool):
         for batch in batches:
             votes, at, values = [], [], []
             for t in batch.column(1):
-                v, x = reader.read(t.as_py() or "")
+                v, (a, x) = reader.read(t.as_py() or "", with_features)
                 votes.append("".join("-" if b is None else str(int(bool(b))) for b in v))
-                at.append(list(x) if with_features else [])
-                values.append(list(x.values()) if with_features else [])
+                at.append(a)
+                values.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "votes", "at", "x"])
 
     return run
