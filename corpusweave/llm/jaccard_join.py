@@ -27,7 +27,7 @@ from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, pack48,
 
 #: A common shingle is one seen this often within one task; the list only orders shingles, it never drops one.
 LOCAL_COMMON = 2
-COMMON_LIST = 1 << 18
+COMMON_LIST = 1 << 19
 FLUSH = 2_000_000
 #: Node lists up to this many ids (8 bytes each) are broadcast, longer ones are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
@@ -194,7 +194,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     made = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_sets(size), SET_SCHEMA), "jaccard-sets")
     sets = made.where("n is not null").select("doc_id", "n", "node", "shingles")
 
-    often = made.where("common is not null").select("common", "counts").mapInArrow(_spread, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "key").limit(COMMON_LIST).toPandas()
+    often = cut(made.where("common is not null").select("common", "counts").mapInArrow(_spread, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt")), "jaccard-common")
+    # The commonest shingles, as many as fit the list: a cut in the histogram of counts, which is short.
+    least, total = 1 << 62, 0
+    for r in often.groupBy(F.least("cnt", F.lit(100_000)).alias("cnt")).agg(F.count("*").alias("n")).orderBy(F.desc("cnt")).collect():
+        total += r["n"]
+        if total > COMMON_LIST:
+            break
+        least = r["cnt"]
+    often = often.where(F.col("cnt") >= least).toPandas()
     often = often.sort_values("key")
     common = spark.sparkContext.broadcast((often["key"].to_numpy(np.uint64), often["cnt"].to_numpy(np.int64)))
 
@@ -230,15 +238,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     delta = stars.where("turn = 0").select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("joined")).alias("d"))
     bits = made.where("n is not null").select("node", *[F.get("parity", F.lit(i)).alias(f"b{i}") for i in range(PARITY_WORDS)]).join(tagged.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     left = tagged.join(delta, "node", "left").join(bits, "node")
-    x, y = left.alias("x"), left.alias("y")
+    # The first region that a pair shares lies in the first seventh of the smaller set (2 t / (1 + t) of it must be shared).
+    x = left.where(F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent) - 1e-9)).alias("x")
+    y = left.alias("y")
     window = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.d") - F.col("y.d")) * 100 <= 100 - percent + 1e-6), F.lit(True))
     differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     # need: the overlap that makes a link. The first region a pair shares leaves room for it behind both places.
     need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent) - 1e-9)
     window = window & (differ <= F.col("x.n") + F.col("y.n") - 2 * need) & (F.col("x.pos") <= F.col("x.n") - need) & (F.col("y.pos") <= F.col("y.n") - need)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n", percent) & window)
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("c"))
-    rest = pairs.select("a", "b").join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n", percent) & window)
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = pairs.join(stars.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
     late = _measured(rest, sets).where(F.col("inter") * 100 >= F.col("joined") * percent).select("a", "b")
     final = cut(connected_components(edges.union(late)), "jaccard-final")
 
