@@ -1,23 +1,32 @@
 """Retrieval: exact vector search, lexical search, rank fusion, scoping, recency and expansion, as DataFrame plans.
 
 Every ranking has a total order (score, then id), so results do not depend on partitioning. Top-k is per query: a global
-sort with a limit for one query, a ranking window (which Catalyst turns into per-partition group limits) for many.
+sort with a limit for one query; for many, the best of each batch and a ranking window that merges them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from corpusweave.functions import text as T
 from corpusweave.functions.lexical import PrefixQuery
 from corpusweave.functions.vector import cosine
+from corpusweave.llm.common import cut
 
 RRF_K, VECTOR_WEIGHT, LEXICAL_WEIGHT = 60, 1.0, 3.0
 #: Weights of a term's place: title, summary fields, and body.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
-#: Query vectors travel to every task only up to this number.
+#: About so many query vectors travel to every task at a time.
 MOST_QUERIES = 10_000
+#: Scores are made for so many queries, and sums for so many vectors, at a time.
+QUERY_TILE, VECTOR_TILE = 64, 512
 
 
 def knn(chunks: DataFrame, query: list[float], k: int, *, vec: str = "embedding", id_col: str = "id", scope: Column | None = None) -> DataFrame:
@@ -32,15 +41,109 @@ def ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "id")) - 1).cast("long"))
 
 
-def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding", id_col: str = "id") -> DataFrame:
-    """The k nearest of each query(query_id, query_vec). Queries are a stated set of bounded size, sent to all tasks."""
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; take them in blocks of {MOST_QUERIES}")
-    pairs = chunks.select(F.col(id_col).alias("id"), F.col(vec).alias("_v")).join(F.broadcast(queries), F.lit(True))
-    scored = pairs.select("query_id", "id", cosine(F.col("_v"), F.col("query_vec")).alias("score"))
+def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, vec: str = "embedding", id_col: str = "id", block: int = MOST_QUERIES) -> DataFrame:
+    """The k nearest of each query(query_id, query_vec), however many there are: query_id, id, score, rank (from 0).
+
+    Queries go to the tasks in blocks of about `block` (by a hash of query_id, a key of its own for each query). A task keeps
+    the k best of each batch of chunks, and a ranking by query merges them. Scores are those of cosine(), bit for bit.
+    """
+    spark = chunks.sparkSession
+    blocks = -(-queries.count() // block)
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("v"))
+    schema = T_.StructType([T_.StructField("query_id", asked.schema["query_id"].dataType), T_.StructField("id", rows.schema["id"].dataType), T_.StructField("score", T_.DoubleType())])
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
-    return scored.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k)
+    out = None
+    for b in range(max(1, blocks)):
+        held = spark.sparkContext.broadcast(_by_length(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b).toArrow()))
+        best = rows.mapInArrow(_best(held, k), schema).withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k)
+        if blocks > 1:  # one block at a time is held
+            best = cut(best, "knn-block")
+            held.unpersist()
+        out = best if out is None else out.union(best)
+    return out
+
+
+def _by_length(asked: pa.Table) -> tuple[pa.Array, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Query ids, and by length the places and vectors of the queries that have a score at all."""
+    column = asked.column("v").combine_chunks()
+    return asked.column("query_id").combine_chunks(), _vectors(column)
+
+
+def _vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (places, matrix) of the vectors that are neither null nor empty nor hold a null."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, parent = pc.list_flatten(column), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    usable = lengths > 0
+    usable[parent[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = False
+    values = flat.to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(lengths[usable]):
+        at = np.flatnonzero(usable & (lengths == n))
+        out[int(n)] = (at, values[(ends[at] - n)[:, None] + np.arange(n)])
+    return out
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(m))
+    for j in range(m.shape[1]):  # in the order of dot(), so that equal vectors have equal scores anywhere
+        total += m[:, j] * m[:, j]
+    return np.sqrt(total)
+
+
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of some queries and all vectors of a batch, -inf where there is none; sums in the order of dot()."""
+    out = np.zeros((len(q), len(v)))
+    columns = np.ascontiguousarray(v.T)
+    for at in range(0, len(v), VECTOR_TILE):
+        tile = np.zeros((len(q), min(VECTOR_TILE, len(v) - at)))
+        product = np.empty_like(tile)
+        for j in range(q.shape[1]):
+            np.multiply(q[:, j, None], columns[None, j, at : at + VECTOR_TILE], out=product)
+            np.add(tile, product, out=tile)
+        out[:, at : at + VECTOR_TILE] = tile
+    size = _lengths(q)[:, None] * _lengths(v)[None, :]
+    with np.errstate(all="ignore"):
+        return np.where(size == 0, -np.inf, out / size)
+
+
+def _best(held, k: int):
+    """For each batch of (id, v) the k best of each query: score first (nulls last, NaN before all, as Spark sorts), then id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = held.value
+        least = np.full((len(names), k), -np.inf)  # the k best scores that this task has given
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            batch = batch.take(pc.array_sort_indices(batch.column(0), null_placement="at_start"))
+            vectors = _vectors(batch.column(1))
+            for first in range(0, len(names), QUERY_TILE):
+                last = min(first + QUERY_TILE, len(names))
+                key = np.full((last - first, batch.num_rows), -np.inf)
+                for n, (at, matrix) in vectors.items():
+                    places, queries = asked.get(n, (np.zeros(0, int), None))
+                    mine = np.flatnonzero((places >= first) & (places < last))
+                    if len(mine):
+                        key[np.ix_(places[mine] - first, at)] = _scores(queries[mine], matrix)
+                key[np.isnan(key)] = np.inf
+                bound = least[first:last].min(axis=1)
+                if batch.num_rows > k:
+                    bound = np.maximum(bound, np.partition(key, batch.num_rows - k, axis=1)[:, batch.num_rows - k])
+                q, at = np.nonzero(key >= bound[:, None])
+                score = key[q, at]
+                order = np.lexsort((at, -score, q))
+                q, at, score = q[order], at[order], score[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, at, score, place = (x[place < k] for x in (q, at, score, place))
+                new = np.full((last - first, k), -np.inf)
+                new[q, place] = score
+                least[first:last] = -np.sort(-np.concatenate([least[first:last], new], axis=1), axis=1)[:, :k]
+                shown = pa.array(np.where(score == np.inf, np.nan, score), mask=score == -np.inf)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), batch.column(0).take(pa.array(at)), shown], ["query_id", "id", "score"])
+
+    return run
 
 
 def postings(docs: DataFrame, *, id_col: str = "doc_id", fields: dict[str, str] | None = None) -> DataFrame:

@@ -56,6 +56,14 @@ def knn_batch(spark, sf_dir):
     return R.knn_many(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 5, id_col="vec_id").select("query_id", "id", rounded("score", "score"), "rank")
 
 
+@query(f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) - 1 AS rank
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank < 5""")
+def knn_all_batch(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all vectors: queries grow with the table."""
+    e = read(spark, sf_dir, "embeddings")
+    return R.knn_many(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 5, id_col="vec_id").select("query_id", "id", rounded("score", "score"), "rank")
+
+
 @query(f"""WITH tok AS ({_TOKENS}), pre AS ({_OR_TERMS}), lex AS ({_LEX}) SELECT id, round(hits * 0.1::DOUBLE, 6) AS score, row_number() OVER (ORDER BY hits DESC, id) - 1 AS rank FROM lex ORDER BY rank LIMIT 75""")
 def lexical_prefix_or(spark, sf_dir):
     q = prefix_query(_query_text(spark, sf_dir, 6))

@@ -1,6 +1,11 @@
+import random
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusweave import catalogue
 from corpusweave.functions.lexical import prefix_query
+from corpusweave.functions.vector import cosine
 from corpusweave.operators import retrieve as R
 from corpusweave.plans import search as S
 
@@ -96,3 +101,20 @@ def test_topk_plans(spark):
     assert "TakeOrderedAndProject" in plan
     plan = R.recency(chunks(spark).withColumn("d", F.lit("2020-01-01")), 3, dates=[F.col("d")], keys=[F.col("law_name")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_knn_many_takes_any_number_of_queries(spark):
+    rng = random.Random(3)
+    vectors = [[float(rng.randrange(-2, 3)) for _ in range(3)] for _ in range(300)] + [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0]]
+    e = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<float>").repartition(5)
+    queries = e.where("id % 7 = 0 or id >= 300").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in R.knn_many(e, queries, 4, block=10).collect())
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
+    plain = e.crossJoin(queries).select("query_id", "id", cosine(F.col("embedding"), F.col("query_vec")).alias("score")).withColumn("rank", F.row_number().over(w) - 1).where("rank < 4")
+    assert got == sorted((r.query_id, r["rank"], r.id, r.score) for r in plain.collect()) and len(got) == 4 * queries.count()
+
+
+def test_a_registered_search_asks_for_every_twentieth_vector(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = catalogue.queries()["knn_all_batch"](spark, sf_dir)
+    assert got.select("query_id").distinct().count() == e.where("vec_id % 20 = 0").count()
