@@ -68,10 +68,13 @@ def chat_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTO
     spans = rows.groupBy("conv_id", "window").agg(F.min("start").alias("head"), F.first("system").alias("system"))
     keyed = lambda own: F.struct("pos", "role", "text", "tokens", F.lit(own).alias("own"))
     own = rows.select("conv_id", "window", keyed(True).alias("t"))
-    # A turn can be history for the later spans that begin at most `history` tokens after it begins.
-    late = rows.where(~((F.col("pos") == 1) & (F.col("role") == SYSTEM_ROLE))).withColumn("last", F.floor((F.col("start") + history + F.col("tokens")) / F.col("room")) + 1)
-    late = late.select(F.col("conv_id").alias("hc"), "start", F.col("window").alias("mine"), keyed(False).alias("t"), F.explode(F.sequence(F.col("window") + 1, F.greatest("last", F.col("window") + 1))).alias("later"))
-    past = late.join(spans, F.col("hc").eqNullSafe(F.col("conv_id")) & (F.col("later") == F.col("window"))).where(F.col("head") - F.col("start") <= history).select("conv_id", "window", "t")
+    # A turn is history of the later spans that begin at most `history` tokens after it: they lie in its bucket of positions or the next.
+    step = max(1, history)
+    late = rows.where(~((F.col("pos") == 1) & (F.col("role") == SYSTEM_ROLE))).select(F.col("conv_id").alias("hc"), "start", F.col("window").alias("mine"), keyed(False).alias("t"))
+    late = late.withColumn("near", F.explode(F.array(F.floor(F.col("start") / step), F.floor(F.col("start") / step) + 1)))
+    heads = spans.select("conv_id", "window", "head", F.floor(F.col("head") / step).alias("bucket"))
+    past = late.join(heads, F.col("hc").eqNullSafe(F.col("conv_id")) & (F.col("near") == F.col("bucket")))
+    past = past.where((F.col("window") > F.col("mine")) & (F.col("head") - F.col("start") <= history)).select("conv_id", "window", "t")
     lead = spans.where(F.col("system").isNotNull() & (F.col("window") > 0)).select("conv_id", "window", F.struct("system.pos", "system.role", "system.text", "system.tokens", F.lit(False).alias("own")).alias("t"))
     # The first span that has a turn holds the system turn itself.
     lead = lead.join(own.where("t.pos = 1").select(F.col("conv_id").alias("oc"), F.col("window").alias("ow")), F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("window") == F.col("ow")), "left_anti")

@@ -49,3 +49,33 @@ def test_odd_rows(spark):
 
 def test_one_long_conversation(spark):
     check(spark, [(7, t, "user" if t % 2 else "assistant", f"turn {t} " * 20) for t in range(3000)], budget=400, history=100)
+
+
+def brute_windows(rows, budget, history):
+    """Texts of all windows, from turns (conv_id, turn, role, text) in order."""
+    out = []
+    for _, turns in groupby(rows, key=lambda r: r[0]):
+        turns, at, spans = [(r[2], r[3]) for r in turns], 0, {}
+        tokens = [-(-len(t.encode()) // 4) + 4 for _, t in turns]
+        system = turns[0][0] == "system"
+        room = max(1, (budget - history - (tokens[0] if system else 0)) // 2)
+        starts = [sum(tokens[:i]) for i in range(len(turns))]
+        for i, n in enumerate(tokens):
+            spans.setdefault((starts[i] + n - 1) // room, []).append(i)
+        for own in spans.values():
+            shown = [i for i in range(own[0]) if starts[own[0]] - starts[i] <= history or (system and i == 0)] if own[0] else []
+            if system and own[0]:
+                shown = [0] + [i for i in shown if i]
+            out.append("".join(f"<s>{turns[i][0]}[/ROLE]{turns[i][1]}</s>" for i in shown + own))
+    return sorted(out)
+
+
+def test_history_before_turns_of_several_kb(spark):
+    rng = random.Random(4)
+    rows = [(1, 0, "user", "q" * 144), (1, 1, "assistant", "a" * 3184), (2, 0, "user", "q" * 100), (2, 1, "assistant", "b" * 12_000), (2, 2, "user", "then"), (2, 3, "assistant", "c" * 4000)]
+    rows += [(3, t, "system" if t == 0 else rng.choice(["user", "assistant"]), "w" * rng.choice([1500 if t == 0 else 10, 200, 900, 4000, 9000])) for t in range(60)]
+    for budget, history in ((1024, 256), (1024, 900), (300, 0)):
+        got = check(spark, rows, budget=budget, history=history)
+        assert sorted(w.text for w in got) == brute_windows(rows, budget, history)
+    first = [w for w in check(spark, rows) if w.conv_id == 1 and "aaa" in w.text]
+    assert first[0].n_repeated == 1 and "qqq" in first[0].text
