@@ -1,4 +1,4 @@
-"""Chat formatting in budgeted windows, in DataFrame operations only.
+"""Chat formatting in budgeted windows, in DataFrame operations; what is read back is digested in Arrow batches.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned spans: a turn belongs to the span in which its last token
 falls. Each window holds the conversation's system turn, limited history (whole turns before the span that begin at most
@@ -18,10 +18,14 @@ ignored; an empty table gives no windows.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import text_of
+from corpusweave.llm.common import small_batches, text_of
 
 BUDGET = 1024
 HISTORY = 256
@@ -99,7 +103,36 @@ def read_back(windows: DataFrame) -> DataFrame:
     pair = lambda s: F.split(F.substring(s, len(BEGIN) + 1, 2**31 - 1), r"\[/ROLE\]", 2)
     said = F.array_join(F.transform(own, lambda s: F.concat(unescape(F.get(pair(s), F.lit(0))), F.lit("\n"), unescape(F.get(pair(s), F.lit(1))), F.lit("\n"))), "")
     masked = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))), "")
-    rows = windows.select("conv_id", "window", (F.col("n_turns") - F.col("n_repeated")).alias("n"), F.length("text").alias("chars"), said.alias("said"), masked.alias("masked"))
-    both = rows.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sum("chars").cast("long").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("window", "said", "masked"))).alias("w"))
-    said, masked = F.array_join(F.col("w.said"), ""), F.array_join(F.col("w.masked"), "")
-    return both.select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), "formatted_chars")
+    rows = windows.select("conv_id", "window", (F.col("n_turns") - F.col("n_repeated")).cast("long").alias("n"), F.length("text").cast("long").alias("chars"), said.alias("said"), masked.alias("masked"))
+    small_batches(windows.sparkSession)
+    kind = windows.schema["conv_id"].dataType.simpleString()
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows.mapInArrow(_digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by conv_id and window: of a conversation only counts and the state of its digests are held."""
+    conv, state = None, None
+    for batch in batches:
+        done = []
+        for key, n, chars, said, masked in zip(batch.column(0), *(batch.column(i) for i in range(2, 6))):
+            if state is None or key != conv:
+                if state is not None:
+                    done.append((conv, state))
+                conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            said, masked = said.as_py(), masked.as_py()
+            state[0] += n.as_py()
+            state[1].update(said.encode())
+            state[2] += len(masked)
+            state[3].update(masked.encode())
+            state[4] += chars.as_py()
+        if done:
+            yield _digest_rows(done)
+    if state is not None:
+        yield _digest_rows([(conv, state)])
+
+
+def _digest_rows(done: list) -> pa.RecordBatch:
+    hexed = [[s.hexdigest() if hasattr(s, "hexdigest") else s for s in state] for _, state in done]
+    columns = [pa.array([c.as_py() for c, _ in done], done[0][0].type), *[pa.array(x, t) for x, t in zip(zip(*hexed), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]]
+    return pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

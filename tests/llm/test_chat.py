@@ -79,3 +79,10 @@ def test_history_before_turns_of_several_kb(spark):
         assert sorted(w.text for w in got) == brute_windows(rows, budget, history)
     first = [w for w in check(spark, rows) if w.conv_id == 1 and "aaa" in w.text]
     assert first[0].n_repeated == 1 and "qqq" in first[0].text
+
+
+def test_no_conversation_is_gathered_into_a_row(spark):
+    windows = spark.createDataFrame([(1, w, f"<s>user[/ROLE]{w}</s>", 1, 0, []) for w in range(9)], "conv_id long, window long, text string, n_turns int, n_repeated int, loss array<struct<start:int,end:int>>")
+    read = chat.read_back(windows)
+    assert "collect_list" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert read.first().turns_sha256 == hashlib.sha256("".join(f"user\n{w}\n" for w in range(9)).encode()).hexdigest()
