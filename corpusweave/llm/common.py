@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space of the word contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a new local one only where it is unset."""
@@ -27,7 +29,12 @@ def cut(df: DataFrame, name: str = "cut", parts: int | None = None, codec: str =
     """Write df to the shared folder and read it back: a lineage cut that survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if parts is None else df.coalesce(parts)).write.mode("overwrite").option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # what is written needs no shuffle files behind it
+    try:
+        (df if parts is None else df.coalesce(parts)).write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -55,8 +62,8 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Batches of texts or sets are handed to Python a few rows at a time, as single rows can be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Batches handed to Python hold about size bytes at most: few rows of long texts, many of short ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, size)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.common import cut, small_batches
-from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, pack48, shingle_hashes, shingle_set, unpack48
+from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, shingle_hashes, shingle_set
 
 #: Shingles of one block of items at most (8 bytes each in a task), as long as no single item has more.
 BLOCK_SHINGLES = 2_000_000
@@ -33,7 +33,7 @@ def _item_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack48(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["item_id", "shingles", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["item_id", "shingles", "n"])
 
     return run
 
@@ -44,7 +44,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]], percent: int):
         self.percent = percent
         self.ids = [i for i, _ in items]
-        self.sets = [unpack48(s) for _, s in items]
+        self.sets = [np.frombuffer(s, np.uint64) for _, s in items]
         keys, owners = [], []
         for k, s in enumerate(self.sets):
             own = s[: len(s) - -(-percent * len(s) // 100) + 1]
@@ -55,17 +55,16 @@ class ItemIndex:
         self.keys, self.owners = keys[order], owners[order]
         #: A small bit map of key prefixes spares most look-ups.
         self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys >> np.uint64(28)] = True
+        self.bits[self.keys >> np.uint64(44)] = True
 
     def search(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
-        h = hashes >> np.uint64(16)
-        h = h[self.bits[h >> np.uint64(28)]]
+        h = hashes[self.bits[hashes >> np.uint64(44)]]
         lo, hi = np.searchsorted(self.keys, h), np.searchsorted(self.keys, h, "right")
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
             return []
         found = sorted({int(k) for i in hit for k in self.owners[lo[i] : hi[i]]})
-        whole = np.unique(hashes >> np.uint64(16))
+        whole = np.unique(hashes)
         out = []
         for k in found:
             shared = int(np.isin(self.sets[k], whole, assume_unique=True).sum())

@@ -50,15 +50,5 @@ def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes of 48 bits (two different shingles of a pair of texts meet with chance 2**-48)."""
-    return np.unique(shingle_hashes(text, size) >> np.uint64(16))
-
-
-def pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack48(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.reshape(-1).view("<u8")
+    """Sorted distinct shingle hashes of 64 bits (two different shingles of a pair of texts meet with chance 2**-64)."""
+    return np.unique(shingle_hashes(text, size))

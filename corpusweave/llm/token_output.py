@@ -310,8 +310,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
 def _digest(book, starts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(np.frombuffer(book.value, np.uint8))
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in (batch.slice(i, 16).to_pylist() for batch in batches for i in range(0, batch.num_rows, 16)):
             decoded = unpack([r["bits"] for r in rows], [np.frombuffer(r["checkpoints"], "<u4") for r in rows], [r["n_tokens"] for r in rows], table)
             docs, start, n, crc = [], [], [], []
             for r, ids in zip(rows, decoded):
@@ -340,7 +339,7 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, dict[
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Decodes the files: doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian uint32) of every document."""
-    small_batches(spark, 20)
+    small_batches(spark)
     blocks, lengths, starts = read_blocks(spark, path)
     return blocks.mapInArrow(_digest(spark.sparkContext.broadcast(lengths), starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -1,13 +1,15 @@
 import random
 
+import numpy as np
+
 from corpusweave.llm import jaccard_join as J
 from corpusweave.llm.components import connected_components
-from corpusweave.llm.shingles import pack48, shingle_set, unpack48
+from corpusweave.llm.shingles import shingle_set
 
 
 def brute(rows):
     sets = [(d, frozenset(shingle_set(t).tolist())) for d, t in rows]
-    up = list(range(len(sets)))
+    up, mates = list(range(len(sets))), [set() for _ in sets]
 
     def find(a):
         while up[a] != a:
@@ -19,18 +21,61 @@ def brute(rows):
             both = len(x & y)
             if x and y and 100 * both >= 75 * (len(x) + len(y) - both):
                 up[find(i)] = find(j)
+                if x != y:
+                    mates[i].add(y)
+                    mates[j].add(x)
     least = {}
     for i, (d, _) in enumerate(sets):
         least[find(i)] = min(least.get(find(i), d), d)
-    return sorted((d, len(x), least[find(i)]) for i, (d, x) in enumerate(sets))
+    return sorted((d, len(x), least[find(i)], len(mates[i])) for i, (d, x) in enumerate(sets))
 
 
-def check(spark, rows):
+def check(spark, rows, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in J.jaccard_components(df, **options).collect())
     assert got == brute(rows)
 
 
+def crowd(seed, groups, copies, edits, length=120):
+    """Groups of copies with changes, around the threshold."""
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(3000)}"
+    rows = []
+    for g in range(groups):
+        base = [word() for _ in range(length)]
+        for i in range(copies):
+            t = list(base)
+            for _ in range(rng.choice(edits)):
+                t[rng.randrange(len(t))] = word()
+            rows.append((10_000 * g + i, " ".join(t)))
+    return rows
+
+
+def test_regions_split_and_blocks_join_what_cannot_be_split(spark):
+    passage = " ".join(f"p{i}" for i in range(400))
+    # groups around one long passage hang together as one group of distant clusters, so pivots split it
+    rows = [(d, t + " " + passage) for d, t in crowd(1, 6, 12, [0, 1, 2, 4, 6, 9], 130)]
+    check(spark, rows + crowd(2, 3, 25, [1, 3, 5, 6]) + [(70_000 + d, t) for d, t in crowd(3, 1, 60, [1, 2, 3])], cell_members=8, cell_shingles=4000)
+
+
+def test_screen_keeps_every_link():
+    for n in (*range(1, 60), 97, 250, 1001):
+        for m in range(-(-75 * n // 100), min(100 * n // 75, 1400) + 1):
+            common = J.overlap(n, m, 75)
+            # worst places of what is not shared: first in both lists
+            shared = set(range(10_000, 10_000 + common))
+            for a_low, b_low in ((0, 0), (0, 20_000), (20_000, 0)):
+                a = sorted(shared | set(range(a_low, a_low + n - common)))[: int(J.sent(n, 75))]
+                b = sorted(shared | set(range(b_low + 5000, b_low + 5000 + m - common)))[: int(J.sent(m, 75))]
+                assert len(set(a) & set(b)) >= J.least_shared(n, 75)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 4000, n).astype(np.uint64)) for n in sizes] for sizes in ([1, 50, 900], [1, 3, 2000, 400]))
+    assert J.overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
 def test_near_copies_chains_and_shared_passages(spark):
     rng = random.Random(5)
     word = lambda: f"v{rng.randrange(3000)}"
@@ -61,7 +106,7 @@ def test_odd_rows(spark, odd, none):
 def test_keep_first_keeps_columns(odd, none):
     kept = J.keep_first(odd)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 1, 2, 3, 4, 5, 8, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 3, 4, 5, 8, None]
     assert J.keep_first(none).count() == 0
 
 
@@ -75,5 +120,16 @@ def test_components(spark):
 def test_shingles():
     assert len(shingle_set("a b c")) == 1 and len(shingle_set(None)) == 0 and len(shingle_set("a b c d e f")) == 2
     assert (shingle_set("A B c D e") == shingle_set("a b C d E")).all() and (shingle_set("É b c") != shingle_set("é b c")).all()
-    s = shingle_set("one two three four five six seven")
-    assert (unpack48(pack48(s)) == s).all()
+
+
+def test_keep_first_without_ids_and_with_repeated_ids(spark):
+    said = [f"text {i} of many words that differ from all others {i} {i * i} {i + 7} and so on" for i in range(4)]
+    rows = [(None, said[0]), (None, said[0]), (None, said[1]), (7, said[2]), (7, said[2]), (7, said[3]), (9, said[2]), (None, said[2])]
+    kept = J.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(None, said[0]), (None, said[1]), (7, said[2]), (7, said[3])], key=str)
+
+
+def test_very_long_word_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 3_000_000)], "doc_id long, text string")).collect()}
+    assert got == {1: (299_996, 1), 2: (299_997, 1), 3: (1, 3)}
