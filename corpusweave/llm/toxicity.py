@@ -3,8 +3,9 @@
 Features are densities and counts of learned lexicons (whole words, and stems for inflected ones), second-person words near
 lexicon words, capitals, punctuation, obfuscation (masked, digit-for-letter and stretched words). Lexicons, trees and
 calibration are learned from labelled rows outside the held-out fold (crc32 of the id, mod 5 = 0): a sample of about
-TRAIN_ROWS of them, drawn by hash; lexicons from folds 1 and 2, trees from fold 3, calibration from fold 4, so that none is
-fitted to what another has learned by heart. With under FEW positive rows all folds serve all three.
+TRAIN_ROWS of them, drawn by hash of the id. They are cross-fitted in two halves at every size: a row's features come from the
+lexicon of the other half and its score for the calibration from the trees of the other half, so that nothing is fitted to what
+it has learned by heart; the final lexicon and trees are those of both halves. A lexicon holds LEXICON_WORDS terms at most.
 
 Defined cases: null and empty texts are scored (all features 0); several labels of one doc_id count once, toxic if any is;
 null labels and labels without a document are ignored; with no usable labels, or of one class only, every score is that
@@ -32,10 +33,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from corpusweave.llm.common import cut, forget, small_batches
 
 TRAIN_ROWS = 20_000
-FEW = 300
 FOLDS = 5
 STEM = 5
 LEXICON_WORDS = 2_000
+#: Toxic documents of a half that a term of its lexicon is in, at least.
+LEAST_DOCUMENTS = 3
 _CACHE = 300_000
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros".split())
 _LOOKS = str.maketrans("01345@$!7", "oieasasit")
@@ -54,29 +56,37 @@ def plain(word: str) -> str:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold a word or a stem, by class, counted within the task first."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """Documents that hold a word or a stem, by class and half, counted within the task first."""
+    counts = {(c, h): Counter() for c in (0, 1) for h in (0, 1)}
     for batch in batches:
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for toxic, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             words = {plain(w) for w in (text.as_py() or "").split()}
-            terms = {"w:" + w for w in words if 2 < len(w) <= 40} | {"s:" + w[:STEM] for w in words if STEM < len(w) <= 40}
-            counts[toxic].update(terms)
-        if sum(map(len, counts)) > 500_000:
+            terms = {"w:" + w for w in words if w} | {"s:" + w[:STEM] for w in words if len(w) > STEM}
+            counts[toxic, half].update(terms)
+        if sum(map(len, counts.values())) > 500_000:
             yield _terms(counts)
-            counts = (Counter(), Counter())
+            counts = {k: Counter() for k in counts}
     yield _terms(counts)
 
 
 def _terms(counts) -> pa.RecordBatch:
-    terms = list(counts[0].keys() | counts[1].keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "pos", "neg"])
+    terms = list(set().union(*counts.values()))
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[k][t] for t in terms], pa.int64()) for k in counts]], ["term", *[f"{c}{h}" for c, h in counts]])
 
 
-def learn_lexicon(train: DataFrame, n_pos: int, n_neg: int, least: int) -> list[str]:
-    """Terms ("w:" words, "s:" stems) that are far likelier in toxic documents; at most LEXICON_WORDS of them."""
-    counts = train.select("toxic", "text").mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+def count_terms(train: DataFrame) -> DataFrame:
+    """Documents that hold a term, by class and half: term, 00, 01 (not toxic), 10, 11 (toxic)."""
+    names = [f"{c}{h}" for c in (0, 1) for h in (0, 1)]
+    rows = train.select("toxic", "half", "text").mapInArrow(_term_counts, "term string, " + ", ".join(f"`{n}` long" for n in names))
+    return rows.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def learn_lexicon(counts: DataFrame, n: dict[tuple[int, int], int], halves: tuple[int, ...]) -> list[str]:
+    """Terms ("w:" words, "s:" stems) that are far likelier in toxic documents of these halves; at most LEXICON_WORDS of them."""
+    pos, neg = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in (1, 0))
+    n_pos, n_neg = (sum(n.get((c, h), 0) for h in halves) for c in (1, 0))
     ratio = ((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1))
-    found = counts.where(F.col("pos") >= least).withColumn("ratio", ratio).where("ratio >= 8")
+    found = counts.select("term", pos.alias("pos"), neg.alias("neg")).where(F.col("pos") >= LEAST_DOCUMENTS * len(halves)).withColumn("ratio", ratio).where("ratio >= 8")
     return [r["term"] for r in found.orderBy(F.desc(F.col("pos") * F.log("ratio")), "term").limit(LEXICON_WORDS).collect()]
 
 
@@ -174,23 +184,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # drawn has about train_rows short rows whatever the input's size
-    train = cut(texts.join(F.broadcast(drawn), "doc_id").withColumn("fold", fold()), "toxic-train")
-    n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
+    train = cut(texts.join(F.broadcast(drawn), "doc_id").withColumn("half", F.when(fold() <= 2, 0).otherwise(1)), "toxic-train")
+    n = {(r["toxic"], r["half"]): r["n"] for r in train.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    pos = sum(m for (toxic, _), m in n.items() if toxic)
+    if not pos or pos == sum(n.values()):
         return ToxicityModel([], rate=float(pos > 0))
-    few = pos < FEW
-    words = train if few else train.where("fold in (1, 2)")
-    terms = learn_lexicon(words, pos, neg, 5)
-    x = cut(features(train, terms, ["toxic", "fold"]), "toxic-x", parts=4)
+    counts = cut(count_terms(train), "toxic-terms")
+    lexicons = [learn_lexicon(counts, n, (h,)) for h in (0, 1)]
+    terms = learn_lexicon(counts, n, (0, 1))
+    x = cut(features(train.where("half = 0"), lexicons[1], ["toxic", "half"]).unionByName(features(train.where("half = 1"), lexicons[0], ["toxic", "half"])), "toxic-x", parts=4)
     forget(train)
-    forest = x if few else x.where("fold in (3)")
-    trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=64, seed=11, minInstancesPerNode=2 if few else 10).fit(forest.withColumn("features", array_to_vector("x")))
-    checked = _raw(trees, x if few else x.where("fold = 4")).select(F.col("p"), F.col("toxic").cast("double"))
+    forget(counts)
+    rows = x.withColumn("features", array_to_vector("x"))
+    both = [_grow(rows.where(f"half = {h}"), n.get((1, h), 0), n.get((0, h), 0)) for h in (0, 1)]
+    checked = [_raw(both[1 - h], x.where(f"half = {h}")).select("p", F.col("toxic").cast("double")) for h in (0, 1) if both[1 - h] is not None]
+    trees = _grow(rows, pos, sum(n.values()) - pos)
+    # with toxic rows in one half only, nothing can be cross-fitted
+    checked = checked[0].union(checked[1]) if len(checked) == 2 else _raw(trees, x).select("p", F.col("toxic").cast("double"))
     calibration = IsotonicRegression(labelCol="toxic", featuresCol="p", predictionCol="score").fit(checked)
+    forget(x)
     return ToxicityModel(terms, trees, calibration)
 
 
+def _grow(rows: DataFrame, pos: int, neg: int):
+    """Boosted trees, or None with one class only."""
+    return GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=10, maxDepth=3, stepSize=0.3, maxBins=64, seed=11, minInstancesPerNode=3).fit(rows) if pos and neg else None
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = model or fit(docs, labels)
