@@ -15,11 +15,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a new local one only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a new one where it is unset, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusweave-"))
         found = jsc.getCheckpointDir().get()
     return found.rstrip("/")

@@ -1,9 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are short and documents long, so plain MinHash banding would miss them. Each item is kept under a bottom-k MinHash
-sketch whose k is set by its size partition: k = n - ceil(t n) + 1 least shingle hashes for an item of n shingles. A document
-that contains t of an item's shingles must contain one of these k, so the search has full recall; every candidate is then
-verified exactly on the whole text. Items are taken in blocks of bounded size; a block is a stated query set that goes to
+Test items are short and documents long, so plain MinHash banding would miss them. Items are partitioned by size (powers of two);
+each partition keeps bottom-k MinHash sketches of one length k, n - ceil(t n) + 1 for the largest n of the partition. A document
+that contains t of an item's n shingles must contain one of its k least hashes, so the search has full recall; every candidate is
+then verified exactly on the whole text, on 64-bit shingle hashes. Items are taken in blocks of bounded size; a block is a stated query set that goes to
 every document's task, so documents are never shuffled.
 
 Defined cases: items without words match nothing; null or blank texts hold nothing; items shorter than the shingle size are
@@ -26,7 +26,7 @@ from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, shingle_
 
 #: Shingles of one block of items at most (8 bytes each in a task), as long as no single item has more.
 BLOCK_SHINGLES = 2_000_000
-FOUND = "doc_id long, item_id long, n_shingles long, n_shared long"
+FOUND = "doc_id long, mark long, item_id long, n_shingles long, n_shared long"
 
 
 def _item_sets(size: int):
@@ -45,9 +45,14 @@ class ItemIndex:
         self.percent = percent
         self.ids = [i for i, _ in items]
         self.sets = [np.frombuffer(s, np.uint64) for _, s in items]
+        largest: dict[int, int] = {}
+        for s in self.sets:
+            largest[len(s).bit_length()] = max(largest.get(len(s).bit_length(), 0), len(s))
+        #: Sketch length by size partition.
+        self.lengths = {c: n - -(-percent * n // 100) + 1 for c, n in largest.items()}
         keys, owners = [], []
         for k, s in enumerate(self.sets):
-            own = s[: len(s) - -(-percent * len(s) // 100) + 1]
+            own = s[: self.lengths[len(s).bit_length()]]
             keys.append(own)
             owners.append(np.full(len(own), k))
         keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -77,19 +82,25 @@ def _search(items, percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items.value, percent)
         for batch in batches:
-            rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)) for hit in index.search(shingle_hashes(text.as_py(), size))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) if rows else [[], [], [], []])], ["doc_id", "item_id", "n_shingles", "n_shared"])
+            rows = [(doc, mark, *hit) for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)) for hit in index.search(shingle_hashes(text.as_py(), size))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows)) if rows else [[]] * 5)], ["doc_id", "mark", "item_id", "n_shingles", "n_shared"])
 
     return run
 
 
-def contained_items(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row for each document and item of which the document holds percent of the distinct shingles."""
+    return _found(docs, items, **options).drop("mark")
+
+
+def _found(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """contained_items() with mark, the hash of the document's text."""
     spark = docs.sparkSession
     small_batches(spark)
     sets = cut(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_sets(size), "item_id long, shingles binary, n long").where("n > 0"), "item-sets")
     total = sets.agg(F.sum("n")).first()[0]
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text)
     if not total:
         return spark.createDataFrame([], FOUND)
     blocks = -(-total // block_shingles)
@@ -103,6 +114,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE_WO
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a test item; all columns and rows of the others (null ids too) stay."""
-    found = contained_items(docs, items, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs without those that hold a test item, all columns kept. Rows are told apart by doc_id (null too) and text."""
+    found = _found(docs, items, **options).select(F.col("doc_id").alias("f_id"), F.col("mark").alias("f_mark")).distinct()
+    given = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("f_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("f_mark"))
+    return given.join(found, same, "left_anti").select("row.*")

@@ -3,8 +3,9 @@
 Each heuristic votes low (1) or fine (0) on a document, or abstains (null); they overlap and err. All documents are voted on,
 and counted by vote pattern: at most 3**len(HEURISTICS) patterns, whose counts alone reach the driver. EM of the
 one-coin model (each labeller's votes are right at a rate of its own) gives the labellers' accuracies and each pattern's
-posterior. Posteriors of a bounded sample (SAMPLE_ROWS documents drawn by hash) train a logistic scorer over
-hashed features: shapes of words and character classes, so that it scores what no heuristic voted on.
+posterior. Posteriors of a bounded sample (about SAMPLE_ROWS rows, each drawn by itself, so copies don't come together) train a
+logistic scorer over hashed features: words, their endings and shapes, and densities, so that it also scores documents that no
+heuristic votes on.
 
 Defined cases: null and blank texts get all votes that need no words, and the score of an empty feature vector; repeated rows
 and null ids are scored each; extra columns are ignored; an empty table gives an empty result; if all documents look alike
@@ -25,10 +26,13 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm.common import cut, small_batches
 
-#: The first seven say "low" or abstain, the last two say "fine" or abstain.
+#: Nine labellers. The first seven say "low" or abstain, the last two say "fine" or abstain.
 HEURISTICS = ("capitals", "marked_words", "odd_characters", "bare_symbols", "table", "repeated_lines", "repeated_words", "prose", "steady")
-SAMPLE_ROWS = 10_000
-DIM = 1 << 12
+SAMPLE_ROWS = 5_000
+#: Hashed places: densities, word shapes, then words and their endings (the last three characters).
+SHAPES, PLACES = 1 << 12, 1 << 16
+DIM = SHAPES + 2 * PLACES
+ENDING = 3
 _CACHE = 200_000
 _ODD = np.frombuffer(b"|#$%&*@~^_=<>{}[]\\!", np.uint8)
 _SYMBOL_END = re.compile(r"[^\w\s.,;:!?'\")\]}»”’%-]{2,}$|!!+$|\?\?+$")
@@ -41,16 +45,18 @@ class Reader:
         self.cache: dict[str, int] = {}
 
     def _word(self, w: str) -> int:
-        """Bits 0-3: upper, symbol end, no letter or digit, digit; above: the feature of the word's shape."""
+        """Bits 0-3: upper, symbol end, no letter or digit, digit; then the features of the word's shape, of itself, of its ending."""
         if w.isalpha():
             upper = len(w) > 1 and w.isupper()
             bits, shape = int(upper), "A" if upper else "a"
         else:
             bits = (len(w) > 1 and w.isupper()) | bool(_SYMBOL_END.search(w)) << 1 | (not any(map(str.isalnum, w))) << 2 | any(map(str.isdigit, w)) << 3
-            shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", w))[:12]
+            shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", w))
         if len(self.cache) > _CACHE:
             self.cache.clear()
-        out = bits | (xxhash.xxh32_intdigest(shape) % (DIM - 64) + 64) << 4
+        plain = w.lower()
+        out = bits | (xxhash.xxh32_intdigest(shape) % (SHAPES - 64) + 64) << 4
+        out |= xxhash.xxh32_intdigest(plain) % PLACES << 16 | xxhash.xxh32_intdigest(plain[-ENDING:], seed=1) % PLACES << 32
         if len(w) <= 64:
             self.cache[w] = out
         return out
@@ -62,7 +68,7 @@ class Reader:
         codes = list(map(self.cache.get, words))
         if None in codes:
             codes = [self._word(w) if c is None else c for c, w in zip(codes, words)]
-        codes = np.array(codes, np.int32)
+        codes = np.array(codes, np.int64)
         upper, ends, bare, digit = (int(np.count_nonzero(codes & (1 << k))) for k in range(4))
         seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         lines = [x for x in text.split("\n") if x.strip()]
@@ -85,9 +91,10 @@ class Reader:
         ]
         if not with_features:
             return votes, (np.empty(0, np.int32), np.empty(0))
-        shapes, counts = np.unique(codes >> 4, return_counts=True)
+        places = np.concatenate([(codes >> 4) & (SHAPES - 1), ((codes >> 16) & (PLACES - 1)) + SHAPES, (codes >> 32) + (SHAPES + PLACES)])
+        places, counts = np.unique(places, return_counts=True)
         dense = np.array([upper, ends, bare, digit]) / max(n, 1)
-        at = np.concatenate([[0, 1, 2, 3, 8, 9, 10, 11, 12], shapes]).astype(np.int32)
+        at = np.concatenate([[0, 1, 2, 3, 8, 9, 10, 11, 12], places]).astype(np.int32)
         x = np.concatenate([dense, [1.0, math.log1p(n) / 10, line_repeat, 1 - distinct, min(mean, 30) / 10], np.log1p(counts) / math.log1p(max(n, 1))])
         return votes, (at, x)
 
@@ -130,13 +137,13 @@ def em(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.nd
     return post, right, prior
 
 
-def train_linear(at: list, x: list, y: np.ndarray, rounds: int = 30, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def train_linear(at: list, x: list, y: np.ndarray, rounds: int = 80, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels: full-gradient AdaGrad over the sample."""
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
     cols, vals = np.concatenate(at).astype(int), np.concatenate(x)
     w, seen = np.zeros(DIM), np.full(DIM, 1e-6)
-    for _ in range(rounds * 10):
-        p = 1 / (1 + np.exp(-np.bincount(rows, vals * w[cols], len(at))))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * w[cols], len(at)), -500, 500)))
         g = np.bincount(cols, vals * (p - y)[rows], DIM) / len(at) + decay * w
         seen += g * g
         w -= rate * g / np.sqrt(seen)
@@ -159,7 +166,7 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     post, rates, prior = em([r["votes"] for r in found], counts)
     posteriors = {r["votes"]: float(p) for r, p in zip(found, post)}
     share = min(1.0, sample_rows / counts.sum())
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1_000_003)) < math.ceil(share * 1_000_003))
+    drawn = rows.where(F.rand(23) < share) if share < 1 else rows
     sample = cut(drawn.mapInArrow(_read(True), READ).select("votes", "at", "x"), "quality-sample").toPandas()
     weights = train_linear(list(sample["at"]), list(sample["x"]), sample["votes"].map(posteriors).to_numpy(float)) if len(sample) else np.zeros(DIM)
     return QualityModel(weights, posteriors, rates, prior)

@@ -69,9 +69,10 @@ links AS (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.id JOIN n y ON o.b = y.id W
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 sets AS (SELECT id, list_sort(list(s)) AS l FROM shingles GROUP BY id),
 classes AS (SELECT x.id, min(y.id) AS class_id FROM sets x JOIN sets y ON x.l = y.l GROUP BY x.id),
-least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.component_id::BIGINT AS component_id, coalesce(c.class_id, d.doc_id)::BIGINT AS class_id
-FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN classes c ON c.id = d.doc_id JOIN least ON least.a = d.doc_id""",
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+mates AS (SELECT links.a, count(DISTINCT y.class_id) AS n_links FROM links JOIN classes x ON x.id = links.a JOIN classes y ON y.id = links.b WHERE x.class_id <> y.class_id GROUP BY links.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.component_id::BIGINT AS component_id, coalesce(c.class_id, d.doc_id)::BIGINT AS class_id, coalesce(mates.n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN mates ON mates.a = d.doc_id LEFT JOIN n ON n.id = d.doc_id LEFT JOIN classes c ON c.id = d.doc_id JOIN least ON least.a = d.doc_id""",
         "op6_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),

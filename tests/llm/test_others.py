@@ -39,6 +39,24 @@ def test_chunk_maps_compose_at_any_cut():
         assert machine.count(s, chunk=random.choice([1, 2, 3, 1000])) == len(machine.library.encode(s, add_special_tokens=False)), s
 
 
+def test_random_runs_equal_library():
+    random.seed(8)
+    machine = token_counts.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(200):
+        s = "".join(random.choice("abcdefghijklmnopqrstuvwxyz" * 8 + "ABC0123456789'!-.,") for _ in range(random.randint(60, 900)))
+        assert machine.count(s, chunk=random.choice([90, 200, 1000])) == len(machine.library.encode(s, add_special_tokens=False)), s
+
+
+def test_long_texts_are_dealt_over_tasks(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    random.seed(9)
+    word = lambda: random.choice(["stone", "RIVER", "don't", "x1", "naïve", "12,5", "...", "<|endoftext|>"])
+    texts = [" ".join(word() for _ in range(3000)), "".join(word() for _ in range(3000)), "ab1-" * 9000, "z" * 30_000, "short", None]
+    rows = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, long_chars=2000)
+    tok = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n_tokens for r in rows.collect()} == {i: len(tok.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
+
+
 # --- mixing
 
 
@@ -140,6 +158,15 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
     assert right / len(rows) > 0.85 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_with_many_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    assert labels.where("toxic = 1").count() > 300
+    rows = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    caught = [r.predicted for r in rows if r.toxic]
+    assert np.mean(caught) > 0.8 and np.mean([r.predicted for r in rows if not r.toxic]) < 0.02
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 1), (5, 0, 0), (8, None, None), (None, 1, 1), (1, 0, 0), (99, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_scores(odd, labels).collect()
@@ -157,7 +184,42 @@ def test_quality_follows_labels_it_never_saw(spark, sf_dir):
     assert np.mean([r.keep for r in rows if r.quality == 1]) > 0.97
 
 
+def test_quality_where_labellers_abstain(spark):
+    d = "/root/testdata/sf0.1"
+    rows = quality.quality_scores(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    silent = [r for r in rows if r.weak_label == pytest.approx(np.median([x.weak_label for x in rows if set(x.votes) == {"-"}] or [-1]))]
+    assert np.mean([r.keep == r.quality for r in rows]) > 0.95
+    if len(silent) >= 20:  # better than one answer for all of them
+        assert np.mean([r.keep == r.quality for r in silent]) >= max(np.mean([r.quality for r in silent]), 1 - np.mean([r.quality for r in silent]))
+
+
+def test_em_finds_accuracies():
+    rng = np.random.default_rng(1)
+    truth, rates = rng.random(40_000) < 0.3, [0.95, 0.8, 0.7, 0.9]
+    votes = np.where(rng.random((len(truth), 4)) < rates, truth[:, None], ~truth[:, None])
+    spoken = rng.random(votes.shape) < 0.8
+    patterns, n = np.unique(["".join("-" if not s else str(int(v)) for v, s in zip(vs, ss)) for vs, ss in zip(votes, spoken)], return_counts=True)
+    post, found, prior = quality.em(list(patterns), n.astype(float))
+    assert abs(prior - 0.3) < 0.05 and all(abs(a - b) < 0.05 for a, b in zip(found, rates)) and all(0 <= p <= 1 for p in post)
+
+
+def test_linear_scorer_learns():
+    at, x = [np.array([i % 2, 7]) for i in range(40)], [np.ones(2)] * 40
+    w = quality.train_linear(at, x, np.array([i % 2 for i in range(40)], float))
+    assert w[1] > 0.5 > -0.5 > w[0]
+
+
+def test_sample_is_bounded_under_copies(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text of many copies").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    drawn = [rows.where(F.rand(23) < 1000 / 60_000).count(), rows.where(F.rand(7) < 1000 / 60_000).count()]  # as fit() and _sample() draw
+    assert all(700 < n < 1300 for n in drawn)
+
+
 def test_quality_odd_rows(odd, none):
     rows = quality.quality_scores(odd).collect()
     assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add((r.score, r.votes))
+    assert all(len(v) == 1 for v in by.values()) and by[5] == by[6] and by[1] == by[7] and by[2] == by[3]
     assert quality.quality_scores(none).count() == 0
