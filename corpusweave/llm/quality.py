@@ -37,38 +37,52 @@ _CACHE = 200_000
 _ODD = np.frombuffer(b"|#$%&*@~^_=<>{}[]\\!", np.uint8)
 _SYMBOL_END = re.compile(r"[^\w\s.,;:!?'\")\]}»”’%-]{2,}$|!!+$|\?\?+$")
 
+_DIGIT, _ALNUM, _RUNS = re.compile(r"\d"), re.compile(r"[^\W_]"), re.compile(r"\d+|[^\W\d_]+")
+_ALPHA_SHAPES = [xxhash.xxh32_intdigest(shape) % (SHAPES - 64) + 64 for shape in "aA"]
+
+
+def _shape_of(run: re.Match) -> str:
+    found = run.group()
+    return "9" if found[0].isdigit() else "A" if len(found) > 1 and found.isupper() else "a"
+
 
 class Reader:
     """Votes and hashed features of a text, through a bounded cache of word shapes."""
 
     def __init__(self):
         self.cache: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
 
-    def _word(self, w: str) -> int:
-        """Bits 0-3: upper, symbol end, no letter or digit, digit; then the features of the word's shape, of itself, of its ending."""
+    def _bits(self, w: str) -> int:
+        """Upper, symbol end, no letter or digit, digit."""
         if w.isalpha():
-            upper = len(w) > 1 and w.isupper()
-            bits, shape = int(upper), "A" if upper else "a"
-        else:
-            bits = (len(w) > 1 and w.isupper()) | bool(_SYMBOL_END.search(w)) << 1 | (not any(map(str.isalnum, w))) << 2 | any(map(str.isdigit, w)) << 3
-            shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", w))
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        plain = w.lower()
-        out = bits | (xxhash.xxh32_intdigest(shape) % (SHAPES - 64) + 64) << 4
-        out |= xxhash.xxh32_intdigest(plain) % PLACES << 16 | xxhash.xxh32_intdigest(plain[-ENDING:], seed=1) % PLACES << 32
-        if len(w) <= 64:
-            self.cache[w] = out
-        return out
+            return len(w) > 1 and w.isupper()
+        return (len(w) > 1 and w.isupper()) | (_SYMBOL_END.search(w) is not None) << 1 | (_ALNUM.search(w) is None) << 2 | (_DIGIT.search(w) is not None) << 3
+
+    def _word(self, w: str) -> int:
+        """Bits 0-3 as above; then the features of the word's shape, of itself, of its ending."""
+        out, plain = self._bits(w), w.lower()
+        shape = _ALPHA_SHAPES[out] if w.isalpha() else xxhash.xxh32_intdigest(_RUNS.sub(_shape_of, w)) % (SHAPES - 64) + 64
+        return out | shape << 4 | xxhash.xxh32_intdigest(plain) % PLACES << 16 | xxhash.xxh32_intdigest(plain[-ENDING:], 1) % PLACES << 32
+
+    def _codes(self, words: list[str], cache: dict[str, int], code) -> np.ndarray:
+        codes = list(map(cache.get, words))
+        if None in codes:
+            if len(cache) > _CACHE:
+                cache.clear()
+            for i, c in enumerate(codes):
+                if c is None:
+                    w = words[i]
+                    codes[i] = c = code(w)
+                    if len(w) <= 64:
+                        cache[w] = c
+        return np.array(codes, np.int64)
 
     def read(self, text: str, with_features: bool = True) -> tuple[list[int | None], tuple[np.ndarray, np.ndarray]]:
         """Votes, and the features' places and values (empty if not asked for)."""
         words = text.split()
         n, chars = len(words), len(text)
-        codes = list(map(self.cache.get, words))
-        if None in codes:
-            codes = [self._word(w) if c is None else c for c, w in zip(codes, words)]
-        codes = np.array(codes, np.int64)
+        codes = self._codes(words, self.cache, self._word) if with_features else self._codes(words, self.plain, self._bits)
         upper, ends, bare, digit = (int(np.count_nonzero(codes & (1 << k))) for k in range(4))
         seen = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         lines = [x for x in text.split("\n") if x.strip()]
@@ -91,14 +105,19 @@ class Reader:
         ]
         if not with_features:
             return votes, (np.empty(0, np.int32), np.empty(0))
-        places = np.concatenate([(codes >> 4) & (SHAPES - 1), ((codes >> 16) & (PLACES - 1)) + SHAPES, (codes >> 32) + (SHAPES + PLACES)])
-        places, counts = np.unique(places, return_counts=True)
+        codes, counts = np.unique(codes, return_counts=True)
+        places = [(codes >> 4) & (SHAPES - 1), ((codes >> 16) & (PLACES - 1)) + SHAPES, (codes >> 32) + (SHAPES + PLACES)]
         dense = np.array([upper, ends, bare, digit]) / max(n, 1)
-        at = np.concatenate([[0, 1, 2, 3, 8, 9, 10, 11, 12], places]).astype(np.int32)
-        x = np.concatenate([dense, [1.0, math.log1p(n) / 10, line_repeat, 1 - distinct, min(mean, 30) / 10], np.log1p(counts) / math.log1p(max(n, 1))])
+        at = np.concatenate([[0, 1, 2, 3, 8, 9, 10, 11, 12], *places]).astype(np.int32)
+        share = np.log1p(counts) / math.log1p(max(n, 1))  # of a distinct word; words of one shape or ending add up
+        x = np.concatenate([dense, [1.0, math.log1p(n) / 10, line_repeat, 1 - distinct, min(mean, 30) / 10], share, share, share])
         return votes, (at, x)
 
 
+def _spelled(votes: list[int | None]) -> str:
+    return "".join("-" if v is None else str(int(bool(v))) for v in votes)
+
+
 def _read(with_features: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -106,7 +125,7 @@ def _read(with_features: bool):
             votes, at, values = [], [], []
             for t in batch.column(1):
                 v, (a, x) = reader.read(t.as_py() or "", with_features)
-                votes.append("".join("-" if b is None else str(int(bool(b))) for b in v))
+                votes.append(_spelled(v))
                 at.append(a)
                 values.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "votes", "at", "x"])
@@ -179,11 +198,15 @@ def quality_scores(docs: DataFrame, model: QualityModel | None = None) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, posteriors, prior = shared.value
-        for batch in _read(True)(batches):
-            votes, at, x = batch.column("votes").to_pylist(), batch.column("at"), batch.column("x")
-            z = [float(w[np.asarray(a.values)] @ np.asarray(b.values)) for a, b in zip(at, x)]
-            score = 1 / (1 + np.exp(np.array(z)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), batch.column("votes"), pa.array([1 - posteriors.get(v, prior) for v in votes])], ["doc_id", "score", "votes", "weak_label"])
+        reader = Reader()
+        for batch in batches:
+            votes, z = [], []
+            for t in batch.column(1):
+                said, (at, x) = reader.read(t.as_py() or "")
+                votes.append(_spelled(said))
+                z.append(float(w[at] @ x))
+            score = 1 / (1 + np.exp(np.clip(z, -500, 500)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(votes, pa.string()), pa.array([1 - posteriors.get(v, prior) for v in votes], pa.float64())], ["doc_id", "score", "votes", "weak_label"])
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, votes string, weak_label double")
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("keep"), "votes", "weak_label")
