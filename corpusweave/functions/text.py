@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 NAME_MARKS, NAME_PLAIN = "־:״׳", "- \"'"
 # Entities, in the order in which they are decoded (so &amp;lt; ends as <).
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#13;", ""), ("&#10;", "\n"))
+# Fixed value: tags whose end is a line break.
+BLOCK_TAGS = "p|div|li|h[1-6]|tr|br"
 # Fixed value: a date at the begin of a text with a year from 1900 to 2039 and a possible month and day.
 ISO_DATE = r"^(19[0-9]{2}|20[0-3][0-9])-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
 TOKEN_SPLIT = r"[^\p{L}\p{N}_]+"
@@ -64,16 +68,12 @@ def header_and_body(c: Column) -> Column:
 
 def html_to_text(c: Column) -> Column:
     """Line breaks at block ends, tags gone, common entities decoded in their order, other entities gone, white space folded."""
-    t = F.regexp_replace(c, r"(?i)</(p|div|li|h[1-6]|tr|br)\s*>", "\n")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?\s*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for entity, plain in ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(plain))
-    t = F.regexp_replace(t, r"&#?\w+;", "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"\n[ \t]+", "\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.coalesce(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(""))
+    tags = F.regexp_replace(F.regexp_replace(c, rf"(?i)</(?:{BLOCK_TAGS})\s*>|<br\s*/?\s*>", "\n"), "<[^>]+>", "")
+    plain = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, tags)
+    blanks = F.translate(F.regexp_replace(plain, r"&#?\w+;", ""), "\t", " ")
+    # what repeats a blank or begins a line goes; then what follows two line ends
+    folded = F.regexp_replace(F.regexp_replace(blanks, r"(?<=[\n ]) +", ""), r"(?<=\n\n)\n+", "")
+    return F.coalesce(F.regexp_replace(folded, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def strip_controls(c: Column) -> Column:
@@ -108,10 +108,19 @@ def source_id(kind: Column, url: Column, path: Column) -> Column:
     return F.when(kind == "wikitext", wiki).when(kind.isin("lexicon", "bk_csv"), kind).when(blank_to_null(path).isNotNull(), stem).otherwise("unknown")
 
 
-def safe_file_name(c: Column) -> Column:
-    """Unsafe characters and runs of blanks become one underscore; none at the ends."""
-    t = F.regexp_replace(c, r'[<>:"/\\|?*]', "_")
-    return F.regexp_replace(F.regexp_replace(t, r"[_\s]+", "_"), r"^_+|_+$", "")
+def safe_file_name(c: Column, most_bytes: int = 180) -> Column:
+    """Unsafe characters and runs of blanks become one underscore, none at the ends; a name over most_bytes of UTF-8 is cut at a
+    whole character and ends in the first eight digits of its SHA-1."""
+    clean = F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*_\s]+', "_"), "^_|_$", "")
+
+    def fitted(name: Column) -> Column:
+        # UTF-8 bytes of a character by its range; the longest beginning that fits is found by running sums
+        width = lambda ch: F.octet_length(ch)
+        chars = F.split(name, "")
+        kept = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), lambda a, ch: F.struct((a["n"] + width(ch)).alias("n"), (a["k"] + F.when(a["n"] + width(ch) <= most_bytes, 1).otherwise(0)).alias("k")), lambda a: a["k"])
+        return F.concat(F.regexp_replace(F.substr(name, F.lit(1), kept), "_+$", ""), F.lit("_"), F.substring(F.sha1(name), 1, 8))
+
+    return F.get(F.transform(F.array(clean), lambda n: F.when(F.octet_length(n) > most_bytes, fitted(n)).otherwise(n)), F.lit(0))
 
 
 def page_name(c: Column) -> Column:
@@ -174,4 +183,5 @@ def title_class(c: Column, classes: tuple[tuple[str, tuple[str, ...]], ...], oth
 def error_kind(c: Column) -> Column:
     """Daily quota, rate limit or other failure, by what an error message says."""
     low = F.lower(c)
-    return F.when(F.contains(low, F.lit("per day")) | F.contains(low, F.lit("rpd")), "daily_quota").when(F.contains(low, F.lit("rate limit")) | F.contains(low, F.lit("rpm")), "rate_limit").otherwise("other")
+    daily = F.rlike(low, F.lit(r"per day|daily limit|\brpd\b"))
+    return F.when(daily, "daily_quota").when(F.rlike(low, F.lit(r"rate limit|\brpm\b")), "rate_limit").otherwise("other")

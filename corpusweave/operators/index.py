@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +13,15 @@ from pyspark.sql import functions as F
 
 def token_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` white-space tokens, each starting size - overlap after the last, ending with the one that reaches the end."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     step = size - overlap
-    last = F.greatest(F.ceil((F.size(words) - size) / step), F.lit(0))
-    starts = F.sequence(F.lit(0), (last * step).cast("int"), F.lit(step))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - size) / step), F.lit(0))
+        starts = F.sequence(F.lit(0), (last * step).cast("int"), F.lit(step))
+        return F.when(F.size(words) > 0, F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    # transform over one element holds the split text under a name, so that it is made once
+    return F.get(F.transform(F.array(F.filter(F.split(text, r"\s+"), lambda w: w != "")), windows), F.lit(0))
 
 
 def split_sections(text: str) -> list[str]:
@@ -25,35 +31,48 @@ def split_sections(text: str) -> list[str]:
     return parts if len(parts) > 1 else [s for s in re.split(r"\n\s*\n", text) if s.strip()]
 
 
+@dataclass
+class Run:
+    """Sections first to end (exclusive) that make one chunk, with `carried` tokens of the chunk before; or one section to be cut."""
+
+    first: int
+    end: int
+    carried: int
+    tokens: int
+    wide: bool = False
+
+
+def plan_runs(lengths: list[int], size: int, overlap: int) -> list[Run]:
+    """How sections of these lengths are packed, from the lengths alone."""
+    runs: list[Run] = []
+    for i, n in enumerate(lengths):
+        last = runs[-1] if runs else None
+        if n > size or last is None or last.wide:
+            runs.append(Run(i, i + 1, 0, n, n > size))
+        elif last.tokens + n <= size:
+            last.end, last.tokens = i + 1, last.tokens + n
+        else:
+            carried = min(overlap, last.tokens)
+            runs.append(Run(i, i + 1, carried, carried + n))
+    return runs
+
+
 def pack_sections(text: str, size: int, overlap: int, encode: Callable = str.split, decode: Callable = " ".join) -> list[str]:
     """Sections packed in order up to `size` tokens; a packed chunk hands its last `overlap` tokens to the next; a section that is
     too long by itself is cut into windows. A chunk can exceed `size` by the handed tokens."""
     if len(encode(text)) <= size:
         return [text]
+    sections = split_sections(text)
+    coded = list(map(encode, sections))
     chunks: list[str] = []
-    open_parts: list[str] = []
-    filled = 0
-    for section in split_sections(text):
-        ids = encode(section)
-        if len(ids) > size:
-            if open_parts:
-                chunks.append("\n\n".join(open_parts))
-                open_parts, filled = [], 0
-            at = 0
-            while True:
-                chunks.append(decode(ids[at : at + size]))
-                if at + size >= len(ids):
-                    break
-                at += size - overlap
-        elif open_parts and filled + len(ids) > size:
-            chunks.append("\n\n".join(open_parts))
-            tail = encode(chunks[-1])[-overlap:] if overlap else []
-            open_parts = ([decode(tail)] if tail else []) + [section]
-            filled = len(tail) + len(ids)
+    for run in plan_runs(list(map(len, coded)), size, overlap):
+        if run.wide:
+            step, ids = size - overlap, coded[run.first]
+            chunks += [decode(ids[at : at + size]) for at in range(0, len(ids) - overlap, step)]
         else:
-            open_parts.append(section)
-            filled += len(ids)
-    return chunks + (["\n\n".join(open_parts)] if open_parts else [])
+            head = [decode(encode(chunks[-1])[-run.carried :])] if run.carried else []
+            chunks.append("\n\n".join(head + sections[run.first : run.end]))
+    return chunks
 
 
 def chunk(files: DataFrame, *, size: int = 400, overlap: int = 50, text: str = "content") -> DataFrame:
@@ -119,6 +138,83 @@ def within_budget(rows: DataFrame, wanted: Column, budget: int, *, by: list[str]
     return rows.withColumn("granted", wanted & ((F.row_number().over(w) <= budget) | (F.lit(budget) == 0)))
 
 
+def purge(cache: DataFrame, scope: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """What stays of a cache without the rows of a scope (column: value), and one row with how many went."""
+    hit = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in scope.items()])
+    return cache.where(~hit), cache.agg(F.count_if(hit).alias("purged"))
+
+
+def force_rebuild(stored: DataFrame, incoming: DataFrame, context: str = "context") -> DataFrame:
+    """stored with every context that comes anew replaced as a whole."""
+    return stored.join(incoming.select(context).distinct(), context, "left_anti").unionByName(incoming)
+
+
+def upsert_ids(known: DataFrame, names: DataFrame, keys: list[str], now: str) -> DataFrame:
+    """known(keys, id, updated_at) with names: a known key keeps its id and gets a new time, new ones follow in order of the keys.
+
+    New ids go on from the greatest known one; only keys that are new are numbered in one window.
+    """
+    came = names.select(*keys).distinct()
+    both = known.join(came.withColumn("_came", F.lit(True)), keys, "left")
+    kept = both.select(*keys, "id", F.when(F.col("_came"), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
+    new = came.join(known.select(*keys), keys, "left_anti").withColumn("_rn", F.row_number().over(Window.orderBy(*keys)))
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    return kept.unionByName(new.crossJoin(F.broadcast(top)).select(*keys, (F.col("_top") + F.col("_rn")).alias("id"), F.lit(now).alias("updated_at")))  # top is one row
+
+
+def backfill(rows: DataFrame, column: str, constants: dict[str, str], *, context: str = "context", content: str = "content", pattern: str = r"^# (\S+)") -> DataFrame:
+    """Nulls of a column filled: a fixed value for each listed context, else what the pattern captures; filled rows stay."""
+    fixed = F.lit(None).cast("string")
+    for name, value in constants.items():
+        fixed = F.when(F.col(context) == name, F.lit(value)).otherwise(fixed)
+    return rows.withColumn(column, F.coalesce(column, fixed, F.nullif(F.regexp_extract(content, pattern, 1), F.lit(""))))
+
+
+def latest_runs(events: DataFrame, *, run: str = "run_id", order: tuple[str, ...] = ("at", "event_id"), kind: str = "kind") -> DataFrame:
+    """Run lifecycle rows from appended events (created, finalized, failed): the latest state, and when it began. Partial aggregation."""
+    at = F.struct(*order)
+    return events.groupBy(run).agg(F.max_by(kind, at).alias("state"), F.min(order[0]).alias("started_at"), F.max(F.when(F.col(kind) != "created", F.col(order[0]))).alias("ended_at"), F.count("*").alias("n_events"))
+
+
+def reseed(stored: DataFrame, sections: DataFrame, group: str, *, position: str, force: bool = False) -> DataFrame:
+    """stored(group, ordinal, body, active) with new active sections, ordinals from 1. Active rows of such a group are turned off
+    with force and refused without."""
+    came = sections.select(group).distinct()
+    if not force and not stored.where("active").join(came, group, "left_semi").isEmpty():
+        raise ActiveRows(f"active rows exist for a {group} that comes anew; force turns them off")
+    old = stored.join(came.withColumn("_came", F.lit(True)), group, "left").withColumn("active", F.col("active") & F.col("_came").isNull()).drop("_came")
+    ordinal = F.row_number().over(Window.partitionBy(group).orderBy(position)).cast("long")
+    return old.unionByName(sections.select(group, ordinal.alias("ordinal"), "body", F.lit(True).alias("active")))
+
+
+def cache_counters(found: DataFrame, *, outcome: str = "outcome", granted: str = "granted") -> DataFrame:
+    """exact, stale, rewarmed, missed and skipped of a cache run: stale and missing rows are extracted only within the budget."""
+    wanted = F.col(outcome)
+    return found.agg(F.count_if(wanted == "exact").alias("exact"), F.count_if((wanted == "stale") & ~F.col(granted)).alias("stale"), F.count_if((wanted == "stale") & F.col(granted)).alias("rewarmed"), F.count_if((wanted == "miss") & F.col(granted)).alias("missed"), F.count_if((wanted == "miss") & ~F.col(granted)).alias("skipped"))
+
+
+def append_snapshot(counts: DataFrame, path: str, at: str) -> None:
+    """Adds a snapshot under its time; a repeated one replaces itself."""
+    counts.write.mode("overwrite").parquet(f"{path}/snapshot_at={at}")
+
+
+def guard_cold_start(stored: int, upstream: int, most: int = 1000) -> None:
+    """Refuses a first scrape of more than `most` items when nothing is stored yet."""
+    if not stored and upstream > most:
+        raise ColdStart(f"{upstream} items upstream and none stored; load a base first")
+
+
+def selected_contexts(slugs: list[str], replace: str | None, reindex: bool = False) -> list[str]:
+    """Contexts to be rebuilt: 'none', 'all' or one slug; reindex takes all."""
+    if reindex or replace == "all":
+        return list(slugs)
+    if replace in (None, "none"):
+        return []
+    if replace not in slugs:
+        raise ValueError(f"unknown context {replace!r}")
+    return [replace]
+
+
 def snapshot_counts(docs: DataFrame, *, levels: list[str], source: str, doc: Column) -> DataFrame:
     """Distinct documents by levels and source, and by levels alone under source '*'; documents without a name do not count."""
     rows = docs.select(*levels, F.coalesce(source, F.lit("(unknown)")).alias("source_id"), doc.alias("_doc")).where("_doc is not null")
@@ -150,6 +246,14 @@ class CoverageShrunk(RuntimeError):
     """A source came back with far fewer rows than before."""
 
 
+class ActiveRows(RuntimeError):
+    """Active rows would be replaced without being asked to."""
+
+
+class ColdStart(RuntimeError):
+    """Too much to fetch with nothing stored."""
+
+
 class EmptyUpstream(RuntimeError):
     """A source came back empty, so nothing may be overwritten with it."""
 

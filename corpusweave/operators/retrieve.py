@@ -18,7 +18,7 @@ from pyspark.sql import types as T_
 from corpusweave.functions import text as T
 from corpusweave.functions.lexical import PrefixQuery
 from corpusweave.functions.vector import cosine
-from corpusweave.llm.common import cut
+from corpusweave.scratch import cut
 
 RRF_K, VECTOR_WEIGHT, LEXICAL_WEIGHT = 60, 1.0, 3.0
 #: Weights of a term's place: title, summary fields, and body.
@@ -56,7 +56,8 @@ def knn_many(chunks: DataFrame, queries: DataFrame, k: int, *, vec: str = "embed
     out = None
     for b in range(max(1, blocks)):
         held = spark.sparkContext.broadcast(_by_length(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b).toArrow()))
-        best = rows.mapInArrow(_best(held, k), schema).withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank") < k)
+        best = rows.mapInArrow(_best(held, k), schema).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+        best = best.withColumn("rank", (F.col("rn") - 1).cast("long")).drop("rn")
         if blocks > 1:  # one block at a time is held
             best = cut(best, "knn-block")
             held.unpersist()
@@ -233,4 +234,4 @@ def distribution(docs: DataFrame, key: Column, label: Column, date: Column) -> D
     """Groups by key and label with counts and newest date, numeric keys in order; nothing when there are under two groups."""
     rows = docs.select(key.alias("group_key"), label.alias("group_label"), T.publish_date(date).alias("_d")).where("group_key is not null")
     groups = rows.groupBy("group_key", "group_label").agg(F.count("*").alias("doc_count"), F.max("_d").alias("latest_date"))
-    return groups.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).where("_n >= 2").drop("_n").orderBy(F.asc_nulls_last(F.expr("try_cast(group_key as int)")))
+    return groups.where(groups.agg(F.count("*")).scalar() >= 2).orderBy(F.asc_nulls_last(F.expr("try_cast(group_key as int)")))

@@ -29,8 +29,12 @@ def bounds(rows: DataFrame, *, by: str, start: str, out: str = "next_start") ->
     return rows.withColumn(out, F.lead(start).over(Window.partitionBy(by).orderBy(start)))
 
 
-def parents(items: DataFrame, *, by: str, pos: str, depth: str, most: int = 16) -> DataFrame:
-    """parent_pos: the last earlier item with a smaller depth. One running maximum per depth level, no self-join."""
+def parents(items: DataFrame, *, by: str, pos: str, depth: str, most: int | None = None) -> DataFrame:
+    """parent_pos: the last earlier item with a smaller depth. One running maximum per depth level, no self-join.
+
+    most is the number of levels; without it, it is taken from the data.
+    """
+    most = most or max(items.agg(F.coalesce(F.max(depth), F.lit(0))).first()[0] + 1, 1)
     w = Window.partitionBy(by).orderBy(pos).rangeBetween(Window.unboundedPreceding, -1)
     seen = [F.max(F.when(F.col(depth) == d, F.col(pos))).over(w) for d in range(most)]
     rows = items.withColumn("_seen", F.array(*seen))

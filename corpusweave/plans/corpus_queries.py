@@ -217,7 +217,7 @@ def lead_bounds(spark, sf_dir):
 def depth_parents(spark, sf_dir):
     """Nearest earlier item of smaller depth (depth: quantity modulo five)."""
     i = read(spark, sf_dir, "lineitem").withColumn("depth", F.col("l_quantity").cast("int") % 5)
-    return N.parents(i, by="l_orderkey", pos="l_linenumber", depth="depth", most=8).select("l_orderkey", "l_linenumber", F.col("parent_pos").alias("parent"))
+    return N.parents(i, by="l_orderkey", pos="l_linenumber", depth="depth").select("l_orderkey", "l_linenumber", F.col("parent_pos").alias("parent"))
 
 
 @query("SELECT conv_id, turn, 'c_' || (row_number() OVER (ORDER BY conv_id, turn) - 1) || '.md' AS filename FROM conversations")

@@ -80,7 +80,8 @@ def missing_values(rows: DataFrame, required: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, *, refuse_empty: bool = True) -> None:
-    """Written beside the target first, then put in its place; an empty result never replaces what is there."""
+    """Written beside the target first; the old one is moved aside, the new one put in its place, and only then the old one goes.
+    An empty result never replaces what is there."""
     spark = df.sparkSession
     if refuse_empty and df.isEmpty():
         raise EmptyUpstream(path)
@@ -90,8 +91,16 @@ def write_csv(df: DataFrame, path: str, *, refuse_empty: bool = True) -> None:
     jvm = spark.sparkContext._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(tmp)
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"cannot put {tmp} in its place")
+    if had:
+        fs.delete(aside, True)
 
 
 #: Source kinds and how they are read.

@@ -35,12 +35,13 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, *, mode: str = "
     q.awaitTermination()
 
 
-def sync_batches(stored_path: str, next_state: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes one folder of new state per batch id: a repeated batch rewrites its own folder."""
+def sync_batches(stored_path: str, next_state: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes one folder of new state per batch id: a repeated batch rewrites its own folder.
+    start is the state before batch 0 (nothing if not given)."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{stored_path}/state-{batch_id - 1}") if batch_id else batch.limit(0)
+        before = spark.read.parquet(f"{stored_path}/state-{batch_id - 1}") if batch_id else batch.limit(0) if start is None else start
         next_state(before, batch).write.mode("overwrite").parquet(f"{stored_path}/state-{batch_id}")
 
     return each
