@@ -1,56 +1,15 @@
-"""Shared helpers: the job's scratch folder, cut points in the lineage, ASCII words."""
+"""Shared helpers: tables, texts, batches, ASCII words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.scratch import cut, forget, shared_dir  # noqa: F401
+
 #: ASCII white space of the word contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a new one where it is unset, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusweave-"))
-        found = jsc.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "cut", parts: int | None = None, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: a lineage cut that survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # what is written needs no shuffle files behind it
-    try:
-        (df if parts is None else df.coalesce(parts)).write.mode("overwrite").option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing reads it any more."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
