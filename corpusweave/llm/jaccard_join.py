@@ -39,7 +39,7 @@ from corpusweave.llm.components import connected_components
 from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, shingle_set
 
 #: Shingles that a task holds at once while it combines equal ones.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 #: A region of more documents, or shingles, than this is split further.
 CELL_MEMBERS, CELL_SHINGLES = 1024, 2_000_000
 PIVOTS = 16
@@ -211,7 +211,7 @@ def _pack(size: int):
             for text in batch.column(0):
                 held.append(shingle_set(text.as_py(), size))
                 total += len(held[-1])
-                if total >= BLOCK_SHINGLES // 2:
+                if total >= BLOCK_SHINGLES:
                     yield packed()
                     block, held, total = block + 1, [], 0
         if total:

@@ -9,7 +9,7 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000
 _cache: dict[bytes, int] = {}
 
 

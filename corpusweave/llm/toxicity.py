@@ -38,7 +38,7 @@ STEM = 5
 LEXICON_WORDS = 2_000
 #: Toxic documents of a half that a term of its lexicon is in, at least.
 LEAST_DOCUMENTS = 3
-_CACHE = 300_000
+_CACHE = 200_000
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros".split())
 _LOOKS = str.maketrans("01345@$!7", "oieasasit")
 _MASK = re.compile(r"[^\W\d_][*#@$%0-9]+[^\W\d_]|[*#@$%]{2,}")
@@ -63,7 +63,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = {plain(w) for w in (text.as_py() or "").split()}
             terms = {"w:" + w for w in words if w} | {"s:" + w[:STEM] for w in words if len(w) > STEM}
             counts[toxic, half].update(terms)
-        if sum(map(len, counts.values())) > 500_000:
+        if sum(map(len, counts.values())) > 150_000:
             yield _terms(counts)
             counts = {k: Counter() for k in counts}
     yield _terms(counts)
