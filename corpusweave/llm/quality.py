@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut, small_batches
+from corpusweave.llm.common import cut, forget, small_batches
 
 #: Nine labellers. The first seven say "low" or abstain, the last two say "fine" or abstain.
 HEURISTICS = ("capitals", "marked_words", "odd_characters", "bare_symbols", "table", "repeated_lines", "repeated_words", "prose", "steady")
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 2_500
 #: Hashed places: densities, word shapes, then words and their endings (the last three characters).
 SHAPES, PLACES = 1 << 12, 1 << 16
 DIM = SHAPES + 2 * PLACES
@@ -156,10 +156,17 @@ def em(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.nd
     return post, right, prior
 
 
+def _views(table: pa.Table, name: str) -> list[np.ndarray]:
+    """The lists of a column without copies."""
+    column = table.column(name).combine_chunks()
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def train_linear(at: list, x: list, y: np.ndarray, rounds: int = 80, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels: full-gradient AdaGrad over the sample."""
-    rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    cols, vals = np.concatenate(at).astype(int), np.concatenate(x)
+    rows = np.repeat(np.arange(len(at), dtype=np.int32), [len(a) for a in at])
+    cols, vals = np.concatenate(at), np.concatenate(x)
     w, seen = np.zeros(DIM), np.full(DIM, 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * w[cols], len(at)), -500, 500)))
@@ -186,8 +193,11 @@ def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     posteriors = {r["votes"]: float(p) for r, p in zip(found, post)}
     share = min(1.0, sample_rows / counts.sum())
     drawn = rows.where(F.rand(23) < share) if share < 1 else rows
-    sample = cut(drawn.mapInArrow(_read(True), READ).select("votes", "at", "x"), "quality-sample").toPandas()
-    weights = train_linear(list(sample["at"]), list(sample["x"]), sample["votes"].map(posteriors).to_numpy(float)) if len(sample) else np.zeros(DIM)
+    kept = cut(drawn.mapInArrow(_read(True), READ).select("votes", "at", F.col("x").cast("array<float>").alias("x")), "quality-sample")
+    sample = kept.toArrow()
+    forget(kept)
+    y = np.array([posteriors.get(v, prior) for v in sample.column("votes").to_pylist()], float)
+    weights = train_linear(_views(sample, "at"), _views(sample, "x"), y) if len(y) else np.zeros(DIM)
     return QualityModel(weights, posteriors, rates, prior)
 
 
