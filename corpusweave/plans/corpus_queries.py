@@ -70,34 +70,38 @@ def chunk_greedy(spark, sf_dir):
     return c.select("doc_id", "chunk_index", "total_chunks", "content_hash", F.length("content").alias("n_chars"))
 
 
-def _halves(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("source").alias("context"), F.concat(F.lit("f"), (F.col("doc_id") % 100).cast("string")).alias("filename"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("position"))
-    return d.where("position % 3 <> 0"), d.where("position % 2 = 0")
+def _two_states(spark, sf_dir):
+    """The whole table twice: as stored, with other texts in every third row, and as it comes in, with other texts in every second."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("context"), F.concat(F.lit("f"), (F.col("doc_id") % 100).cast("string")).alias("filename"), "text", F.col("doc_id").alias("position"))
+    digest = lambda changed, mark: F.sha2(F.when(changed, F.concat("text", F.lit(mark))).otherwise(F.col("text")), 256).alias("content_hash")
+    stored, incoming = digest(F.col("position") % 3 == 0, " before"), digest(F.col("position") % 2 == 1, " after")
+    return d.select("context", "filename", stored, "position"), d.select("context", "filename", incoming, "position")
 
 
-_DOCS = "SELECT source AS context, 'f' || (doc_id % 100) AS filename, sha256(text) AS content_hash, doc_id AS position FROM documents"
+_STATE = "SELECT source AS context, 'f' || (doc_id % 100) AS filename, sha256(CASE WHEN {} THEN text || '{}' ELSE text END) AS content_hash, doc_id AS position FROM documents"
+_STORED, _INCOMING = _STATE.format("doc_id % 3 = 0", " before"), _STATE.format("doc_id % 2 = 1", " after")
 
 
-@query(f"""WITH d AS ({_DOCS}), s AS (SELECT * FROM d WHERE position % 3 <> 0), i AS (SELECT *, row_number() OVER (PARTITION BY context, content_hash ORDER BY position) AS rn FROM d WHERE position % 2 = 0)
+@query(f"""WITH s AS ({_STORED}), d AS ({_INCOMING}), i AS (SELECT *, row_number() OVER (PARTITION BY context, content_hash ORDER BY position) AS rn FROM d)
 SELECT position, CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.context = i.context AND s.content_hash = i.content_hash) THEN 'insert' ELSE 'unchanged' END AS action FROM i""")
 def delta_plan(spark, sf_dir):
-    stored, incoming = _halves(spark, sf_dir)
+    stored, incoming = _two_states(spark, sf_dir)
     return I.delta_plan(stored, incoming).select("position", "action")
 
 
-@query(f"""WITH d AS ({_DOCS}), s AS (SELECT * FROM d WHERE position % 3 <> 0), i AS (SELECT * FROM d WHERE position % 2 = 0)
+@query(f"""WITH s AS ({_STORED}), i AS ({_INCOMING})
 SELECT position, (EXISTS (SELECT 1 FROM i WHERE i.context = s.context AND i.filename = s.filename) AND NOT EXISTS (SELECT 1 FROM i WHERE i.context = s.context AND i.content_hash = s.content_hash)) AS orphan FROM s""")
 def reconcile_plan(spark, sf_dir):
-    stored, incoming = _halves(spark, sf_dir)
+    stored, incoming = _two_states(spark, sf_dir)
     return I.reconcile_plan(stored, incoming).select("position", "orphan")
 
 
-@query(f"""WITH d AS ({_DOCS}), s AS (SELECT * FROM d WHERE position % 3 <> 0), i AS (SELECT *, row_number() OVER (PARTITION BY context, content_hash ORDER BY position) AS rn FROM d WHERE position % 2 = 0),
+@query(f"""WITH s AS ({_STORED}), d AS ({_INCOMING}), i AS (SELECT *, row_number() OVER (PARTITION BY context, content_hash ORDER BY position) AS rn FROM d),
 a AS (SELECT count(*) FILTER (WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.context = i.context AND s.content_hash = i.content_hash)) AS inserted, count(*) AS n FROM i),
 o AS (SELECT count(*) AS orphaned FROM s WHERE EXISTS (SELECT 1 FROM i WHERE i.context = s.context AND i.filename = s.filename) AND NOT EXISTS (SELECT 1 FROM i WHERE i.context = s.context AND i.content_hash = s.content_hash))
 SELECT n - inserted AS unchanged, inserted, orphaned, round_even(100.0 * orphaned / nullif(inserted, 0), 0)::BIGINT AS churn_percent FROM a, o""")
 def sync_counters(spark, sf_dir):
-    stored, incoming = _halves(spark, sf_dir)
+    stored, incoming = _two_states(spark, sf_dir)
     return I.sync_counters(stored, incoming)
 
 
@@ -120,17 +124,19 @@ def budget_cap(spark, sf_dir):
     return I.within_budget(d, F.col("_w"), 5, by=["source"], order=["doc_id"]).select("doc_id", "granted")
 
 
-@query("""SELECT c_custkey, c_name || ' live' AS c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 <> 0""")
+@query("""SELECT c_custkey, c_name || ' live' AS c_name FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0""")
 def merge_live_seed(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return I.live_or_seed(c.where("c_custkey % 2 = 0").withColumn("c_name", F.concat("c_name", F.lit(" live"))), c, "c_custkey")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    live = c.where("c_acctbal >= 0").select("c_custkey", F.concat("c_name", F.lit(" live")).alias("c_name"))
+    return I.live_or_seed(live, c.drop("c_acctbal"), "c_custkey")
 
 
-@query("""WITH u AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS new FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH u AS (SELECT o_custkey, o_orderkey, o_totalprice, 0 AS new FROM orders UNION ALL SELECT o_custkey, o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderstatus = 'F')
 SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, new DESC) AS rn FROM u) WHERE rn = 1""")
 def upsert_last_wins(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    out = I.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_custkey"], "o_orderkey")
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    changes = o.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    out = I.upsert(o.drop("o_orderstatus"), changes.drop("o_orderstatus"), ["o_custkey"], "o_orderkey")
     return out.select("o_custkey", "o_orderkey", rounded("o_totalprice", "o_totalprice", 2))
 
 
@@ -181,14 +187,14 @@ def set_ops(spark, sf_dir):
 
 
 @query("""SELECT a.source AS source_a, b.source AS source_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM
-(SELECT source, list_sort(list_distinct(list(lang)))  AS w FROM documents GROUP BY 1) a JOIN (SELECT source, list_distinct(list(lang)) AS w FROM documents WHERE doc_id % 10 < 4 GROUP BY 1) b ON a.source = b.source""")
+(SELECT source, list_sort(list_distinct(list(lang)))  AS w FROM documents GROUP BY 1) a JOIN (SELECT source, list_distinct(list(CASE WHEN doc_id % 10 < 4 THEN lang ELSE 'x' || lang END)) AS w FROM documents GROUP BY 1) b ON a.source = b.source""")
 def jaccard_topk(spark, sf_dir):
     """Agreement of two lists per source."""
     from corpusweave.operators.evaluate import top_k_jaccard
 
     d = read(spark, sf_dir, "documents")
     a = d.groupBy(F.col("source").alias("source_a")).agg(F.sort_array(F.collect_set("lang")).alias("a"))
-    b = d.where("doc_id % 10 < 4").groupBy(F.col("source").alias("source_b")).agg(F.sort_array(F.collect_set("lang")).alias("b"))
+    b = d.groupBy(F.col("source").alias("source_b")).agg(F.sort_array(F.collect_set(F.when(F.col("doc_id") % 10 < 4, F.col("lang")).otherwise(F.concat(F.lit("x"), "lang")))).alias("b"))
     return a.join(b, F.col("source_a") == F.col("source_b")).select("source_a", "source_b", rounded(top_k_jaccard(F.col("a"), F.col("b"), 100), "jaccard"))
 
 

@@ -43,7 +43,7 @@ _TRUTH = "SELECT b.item_id AS question_id, d.doc_id::VARCHAR AS doc FROM benchma
 _GOT = "SELECT l.quality + 2 * l.toxic AS question_id, (l.doc_id % 50)::VARCHAR AS doc, row_number() OVER (PARTITION BY l.quality + 2 * l.toxic ORDER BY l.doc_id) AS rank, 1.0::DOUBLE / (1 + l.doc_id) AS score FROM labels l"
 
 
-@query(f"""WITH e AS (SELECT quality + 2 * toxic AS question_id, (doc_id % 50)::VARCHAR AS doc FROM labels WHERE doc_id % 7 = 0 GROUP BY 1, 2), g AS ({_GOT}),
+@query(f"""WITH e AS (SELECT quality + 2 * toxic AS question_id, (doc_id % 70)::VARCHAR AS doc FROM labels GROUP BY 1, 2), g AS ({_GOT}),
 s AS (SELECT question_id, doc, arg_max(score, rank) AS score, count(*) AS n FROM g GROUP BY 1, 2), j AS (SELECT s.*, e.doc IS NOT NULL AS ok FROM s LEFT JOIN e USING (question_id, doc)),
 q AS (SELECT question_id, sum(score) AS total, sum(CASE WHEN ok THEN score ELSE 0 END) AS correct, sum(n)::BIGINT AS num_results, sum(CASE WHEN ok THEN n ELSE 0 END)::BIGINT AS num_correct, count(*) FILTER (WHERE ok) AS hit FROM j GROUP BY 1),
 t AS (SELECT question_id, count(*) AS total_expected FROM e GROUP BY 1)
@@ -55,7 +55,7 @@ def retrieval_metrics(spark, sf_dir):
     l = read(spark, sf_dir, "labels").withColumn("question_id", F.col("quality") + 2 * F.col("toxic"))
     doc = (F.col("doc_id") % 50).cast("string").alias("doc")
     got = l.select("question_id", doc, F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id")).alias("rank"), (1.0 / (1 + F.col("doc_id"))).alias("score"))
-    m = E.retrieval_metrics(l.where("doc_id % 7 = 0").select("question_id", doc), got)
+    m = E.retrieval_metrics(l.select("question_id", (F.col("doc_id") % 70).cast("string").alias("doc")), got)
     return m.select("question_id", "total_expected", "num_results", "num_correct", rounded("query_score", "query_score"), rounded("recall", "recall"))
 
 

@@ -128,12 +128,10 @@ def script_filter(spark, sf_dir):
     return d.select("doc_id", F.round("s", 6).alias("latin_share"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_transform(string_split(l, ' '), lambda w: CASE WHEN regexp_matches(w, '[a-z]') THEN reverse(w) ELSE w END), ' ') AS turned FROM (SELECT conv_id, turn, split_part(text, chr(10), 1) AS l FROM conversations)
-WHERE length(regexp_replace(l, '[^a-z]', '', 'g'))::DOUBLE / nullif(length(l), 0) >= 0.3""")
+@query("""SELECT conv_id, turn, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(regexp_replace(l, '[^a-z]', '', 'g'))::DOUBLE / nullif(length(l), 0) >= 0.3 THEN array_to_string(list_transform(string_split(l, ' '), lambda w: CASE WHEN regexp_matches(w, '[a-z]') THEN reverse(w) ELSE w END), ' ') ELSE l END), chr(10)) AS turned FROM conversations""")
 def direction_repair(spark, sf_dir):
-    """Lines whose words are spelt backwards."""
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split_part("text", F.lit("\n"), F.lit(1)).alias("l")).where(T.script_share(F.col("l"), "a-z") >= 0.3)
-    return c.select("conv_id", "turn", T.reverse_words(F.col("l"), "a-z").alias("turned"))
+    """Lines whose words are spelt backwards, in whole texts."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.reverse_words(F.col("text"), "a-z").alias("turned"))
 
 
 @query("SELECT page_id, regexp_replace(html, 'https?://[^\\s\"<>]*', '', 'g') AS scrubbed, crc32_of AS n_chars FROM (SELECT page_id, html, length(html)::INT AS crc32_of FROM pages)".replace("\\\\", "\\"))
