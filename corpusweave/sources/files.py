@@ -88,5 +88,6 @@ def section_trees(spark: SparkSession, glob: str) -> DataFrame:
 def marked_sections(text: Column, marker: str = r"<!-- SECTION_KEY: ([^ >]+) -->") -> Column:
     """array<struct<key, body>> of a blob with key markers; a body ends at the next marker, a closing '---' goes."""
     keys = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
-    bodies = F.slice(F.split(text, marker.replace("(", "(?:"), -1), 2, 1_000_000)
+    parts = F.split(text, marker.replace("(", "(?:"), -1)
+    bodies = F.slice(parts, F.lit(2), F.size(parts))
     return F.zip_with(keys, bodies, lambda k, b: F.struct(k.alias("key"), F.regexp_replace(F.regexp_replace(b, r"^\s+|\s+$", ""), r"\s*---$", "").alias("body")))

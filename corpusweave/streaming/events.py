@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,21 @@ def sync_batches(stored_path: str, next_state: Callable[[DataFrame, DataFrame],
         next_state(before, batch).write.mode("overwrite").parquet(f"{stored_path}/state-{batch_id}")
 
     return each
+
+
+def first_of_key(events: DataFrame, keys: list[str], *, order: list[str], late: str = "1 hour") -> DataFrame:
+    """One row of each key: of a table the first by order; of a stream the first that comes, order[0] being its event time.
+
+    A stream forgets a key when the watermark passes its row by `late`, so its state does not grow with all keys ever seen.
+    """
+    if events.isStreaming:
+        return events.withWatermark(order[0], late).dropDuplicatesWithinWatermark(keys)
+    rest = [c for c in events.columns if c not in keys]
+    return events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*events.columns)
+
+
+def freshness(events: DataFrame, by: list[str], *, now: Column, most_seconds: int, ts: str = "ts") -> DataFrame:
+    """newest event, age in whole seconds and whether it is stale, of each feed; a feed without times is stale."""
+    newest = events.groupBy(*by).agg(F.max(ts).alias("newest"))
+    rows = newest.withColumn("age", F.timestamp_diff("SECOND", F.col("newest"), now))
+    return rows.withColumn("stale", F.coalesce(F.col("age") > most_seconds, F.lit(True)))
