@@ -1,14 +1,16 @@
 import hashlib
+import math
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusweave.llm import decontaminate, imatch, mixing, quality, registry, token_counts, toxicity
-from corpusweave.llm.shingles import shingle_set
+from corpusweave.llm.shingles import shingle_set, words_of
 from tests.oracle import compare, connection
 
 
@@ -147,6 +149,52 @@ def test_fingerprints_odd_rows(odd, none):
     assert imatch.fingerprints(odd.where("doc_id = 5")).first().near_next == 1.0
 
 
+def test_fingerprints_against_brute_force(spark, odd):
+    """Document frequencies, band, subsets, hashes and likeness in plain Python."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice(["the", "of", *[f"t{rng.randrange(400)}" for _ in range(6)]]) for _ in range(rng.randrange(0, 120)))) for i in range(80)]
+    docs += [(200, docs[5][1]), (201, docs[5][1]), (202, None), (203, "naïve \U0001f600 " * 9), (204, "word" * 50_000)]
+    low, high = 1.0, 4.0
+    sets = {i: set(words_of(t)) for i, t in docs}
+    df = {}
+    for s in sets.values():
+        for w in s:
+            df[w] = df.get(w, 0) + 1
+    band = {imatch.term_hash(w) for w, n in df.items() if low <= math.log(len(docs) / n) <= high}
+    ddf = spark.createDataFrame(docs, "doc_id long, text string")
+    assert set(imatch.lexicon(ddf, low, high).tolist()) == band
+    odds = [int.from_bytes(hashlib.blake2b(b"subset%d" % i, digest_size=8).digest(), "little") | 1 for i in range(sum(imatch.RATES.values()))]
+    rates = [r for r, n in imatch.RATES.items() for _ in range(n)]
+
+    def plain(text):
+        own = sorted({imatch.term_hash(w) for w in words_of(text)})
+        own = [h for h in own if h in band] or own
+        out = []
+        for i, (odd_number, rate) in enumerate(zip(odds, rates)):
+            drawn = [h for h in own if ((h * odd_number & (2**64 - 1)) >> 40) % 2**rate == 0]
+            out.append(f"{xxhash.xxh3_64_intdigest(b''.join(h.to_bytes(8, 'little') for h in drawn), seed=i) % 2**32:08x}" if drawn else "")
+        return out
+
+    def like(a, b):
+        either = [x == y for x, y in zip(a, b) if x or y]
+        return sum(either) / len(either) if either else 1.0
+
+    got = {r.doc_id: r for r in imatch.fingerprints(ddf, low=low, high=high).collect()}
+    order = sorted(((i, t or "") for i, t in docs), reverse=True)
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, follower = plain(t), plain(edited), plain(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (",".join(own), ",".join(changed)), i
+        assert r.near_edited == like(own, changed) and r.near_next == like(own, follower), i
+
+
+def test_fingerprints_of_one_id_with_different_texts(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (1, None), (None, "g h")], "doc_id long, text string")
+    first = sorted(map(str, imatch.fingerprints(df).collect()))
+    assert len(first) == 4 and sorted(map(str, imatch.fingerprints(df.repartition(3)).collect())) == first
+
+
 # --- classifiers
 
 
