@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,39 @@ def render_section(doc: Column, path: Column, content: Column) -> Column:
     """Markdown: '# doc', a heading for each ancestor (array<struct<name, depth>>), then the content."""
     heads = F.transform(path, lambda p: F.concat(F.repeat(F.lit("#"), F.least(p["depth"] + 1, F.lit(6))), F.lit(" "), p["name"]))
     return F.concat_ws("\n\n", F.concat(F.lit("# "), doc), F.array_join(heads, "\n\n"), content)
+
+
+@dataclass(frozen=True)
+class HeadRules:
+    """Patterns of a protocol's head, tried on trimmed lines. The defaults are the wording of the protocols."""
+
+    number: str = r"הכנסת\s+ה?(\S+)"
+    not_number: str = "מושב"
+    label: str = "^פרוטוקול|ישיבה"
+    committee: str = r"(ועדת\s+\S+(?:\s+\S+){0,3})"
+    date: str = r"(?=.*\d{4})(?:.*תשפ|.*\d{1,2}\s+ב[א-ת]+)"
+    block: str = "נכחו|חברי הוועדה"
+    longest_name: int = 60
+
+
+def heads(lines: DataFrame, *, by: str, pos: str, text: str, header: Column, rules: HeadRules = HeadRules()) -> DataFrame:
+    """number, label, committee, date (of the first line that has each) and participants, from the lines before the first turn header.
+
+    A block of names begins after a line that names it and ends with a line that is too long or ends with a colon. Blank lines say
+    nothing; a document without lines before its first header has no row; fields that are not found are null, participants then empty.
+    The names of a document are gathered, its lines are not.
+    """
+    whole, so_far = Window.partitionBy(by), Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    t = F.col("_t")
+    rows = lines.select(by, pos, F.regexp_replace(text, r"^\s+|\s+$", "").alias("_t"), header.alias("_h")).where("_t <> ''")
+    rows = rows.withColumn("_body", F.min(F.when(F.col("_h"), F.col(pos))).over(whole)).where(F.col("_body").isNull() | (F.col(pos) < F.col("_body")))
+    turn = F.when(F.rlike(t, F.lit(rules.block)), True).when((F.length(t) > rules.longest_name) | F.endswith(t, F.lit(":")), False)
+    rows = rows.withColumn("_turn", turn).withColumn("_in", F.last("_turn", ignorenulls=True).over(so_far))
+    first = lambda value, found: F.min_by(value, F.when(found, F.col(pos)))
+    number = F.rlike(t, F.lit(rules.number)) & ~F.rlike(t, F.lit(rules.not_number))
+    names = F.sort_array(F.collect_list(F.when(F.col("_in") & F.col("_turn").isNull(), F.struct(pos, "_t"))))
+    return rows.groupBy(by).agg(
+        first(F.regexp_extract(t, rules.number, 1), number).alias("number"), first(t, F.rlike(t, F.lit(rules.label))).alias("label"),
+        first(F.regexp_extract(t, rules.committee, 1), F.rlike(t, F.lit(rules.committee))).alias("committee"),
+        first(t, F.rlike(t, F.lit(rules.date))).alias("date"), F.transform(names, lambda n: n["_t"]).alias("participants"),
+    )
