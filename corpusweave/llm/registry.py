@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.llm import chat, decontaminate, imatch, jaccard_join, mixing, pii, quality, token_counts, token_output, toxicity
+from corpusweave.llm import alignment, chat, decontaminate, imatch, jaccard_join, mixing, pii, prefix_trie, quality, repetition, token_counts, token_output, toxicity
 from corpusweave.llm.common import table
 
 
@@ -55,6 +55,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repetition.quality_rules(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "base_failed", "kept")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 _SHINGLES = r"""
 words AS (SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
 {name} AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM words WHERE len(w) > 0)"""
@@ -86,9 +99,32 @@ SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)
 n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
 o AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS o FROM bs JOIN ds ON bs.s = ds.s GROUP BY 1, 2)
 SELECT o.doc_id, o.item_id, n.n::BIGINT AS n_shingles, o.o::BIGINT AS n_shared FROM o JOIN n ON n.id = o.item_id WHERE 100 * o.o >= 75 * n.n""",
+        # A word lies under a repeat of n words or more exactly if it lies in an n-word window that comes twice; a repeat of more
+        # than 100 words is a 101-word window that comes twice.
+        "op11_repetition": r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT r, s.s, unnest(list_transform(range(1, len(w) - s.s + 2), lambda i: md5(array_to_string(w[i:i + s.s - 1], ' ')))) AS k, unnest(range(1, len(w) - s.s + 2)) AS i FROM d, (VALUES (3), (8), (101)) AS s(s)),
+g AS (SELECT r, s, i, count(*) OVER (PARTITION BY r, s, k) AS c FROM p),
+q AS (SELECT DISTINCT r, s, unnest(range(i, i + s)) AS at FROM g WHERE c > 1),
+n AS (SELECT r, count(*) FILTER (WHERE s = 3) AS n3, count(*) FILTER (WHERE s = 8) AS n8, count(*) FILTER (WHERE s = 101) AS n101 FROM q GROUP BY r),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n3, 0)::BIGINT AS n_repeat_words, coalesce(n8, 0)::BIGINT AS n_covered, coalesce(n101, 0) AS n101 FROM d LEFT JOIN n USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 30 * n_words AND n101 = 0 AS kept FROM f""",
+        "op13_prefix_trie": """WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, count(*) AS n, c - c % 100 AS base, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 6 AS h FROM t GROUP BY c),
+m AS (SELECT h.c, h.h, h.base, least(h.h, coalesce(b.n, 0)) AS m FROM h LEFT JOIN h b ON b.c = h.base),
+r AS (SELECT m.c, t.pos AS depth, role, text FROM m JOIN t ON t.c = m.base AND t.pos <= m.h UNION ALL SELECT t.c, m.m + t.pos - m.h, role, text FROM t JOIN m ON t.c = m.c WHERE t.pos > m.h),
+mem AS (SELECT c, 0 AS depth, 0 AS chars, '' AS k FROM h UNION ALL SELECT c, depth, length(text), md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY depth)) FROM r),
+node AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM mem GROUP BY depth, k),
+ends AS (SELECT mem.depth, k, sha256(string_agg(mem.c::VARCHAR, ',' ORDER BY mem.c)) AS e FROM mem JOIN (SELECT c, max(depth) AS l FROM mem GROUP BY c) x ON mem.c = x.c AND mem.depth = x.l GROUP BY mem.depth, k),
+up AS (SELECT node.depth, node.k, p.k AS pk, p.conv_id AS parent FROM node JOIN mem ON mem.c = node.conv_id AND mem.depth = node.depth - 1 JOIN node p ON p.depth = mem.depth AND p.k = mem.k),
+kids AS (SELECT depth - 1 AS depth, pk AS k, count(*) AS n FROM up GROUP BY depth, pk),
+own AS (SELECT node.*, coalesce(kids.n, 0) AS n, (n_convs - 1) * chars AS saved FROM node LEFT JOIN kids USING (depth, k)),
+total AS (SELECT mem.depth, mem.k, count(*) FILTER (WHERE own.n = 0) AS leaves, sum(saved) AS saved FROM own JOIN mem ON mem.c = own.conv_id AND mem.depth <= own.depth GROUP BY mem.depth, mem.k)
+SELECT own.conv_id::BIGINT AS conv_id, own.depth::BIGINT AS depth, up.parent::BIGINT AS parent_conv_id, own.n_convs::BIGINT AS n_convs, own.n::BIGINT AS n_children, total.leaves::BIGINT AS n_leaves, total.saved::BIGINT AS saved_tokens, coalesce(ends.e, sha256('')) AS ends_sha256
+FROM own JOIN total USING (depth, k) LEFT JOIN up USING (depth, k) LEFT JOIN ends USING (depth, k)""",
     }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_output, op2_pii, op3_chat_windows, op4_jaccard_join, op5_imatch, op6_mixing, op7_decontamination, op8_token_counts, op9_quality, op10_toxicity)
+    own = (op1_token_output, op2_pii, op3_chat_windows, op4_jaccard_join, op5_imatch, op6_mixing, op7_decontamination, op8_token_counts, op9_quality, op10_toxicity, op11_repetition, op12_token_alignment, op13_prefix_trie)
     return {f.__name__: f for f in own}
