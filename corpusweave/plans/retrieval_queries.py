@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusweave.catalogue import query, read, rounded
 from corpusweave.functions.lexical import prefix_query
 from corpusweave.operators import retrieve as R
+from corpusweave.plans.index_queries import LEXICAL, RANKED, WORDS, document_index
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _KNN = f"SELECT e.vec_id AS id, {_COS} AS score, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) - 1 AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY rank LIMIT {{k}}"
@@ -67,16 +68,14 @@ def knn_all_batch(spark, sf_dir):
 @query(f"""WITH tok AS ({_TOKENS}), pre AS ({_OR_TERMS}), lex AS ({_LEX}) SELECT id, round(hits * 0.1::DOUBLE, 6) AS score, row_number() OVER (ORDER BY hits DESC, id) - 1 AS rank FROM lex ORDER BY rank LIMIT 75""")
 def lexical_prefix_or(spark, sf_dir):
     q = prefix_query(_query_text(spark, sf_dir, 6))
-    return R.lexical(R.postings(read(spark, sf_dir, "documents")), q, 75).select("id", rounded("score", "score"), "rank")
+    return document_index(spark, sf_dir).lookup(q, 75).select("id", rounded("score", "score"), "rank")
 
 
-@query(f"""WITH tok AS ({_TOKENS}), pre AS (SELECT DISTINCT lower(p) AS p FROM (SELECT unnest(w) AS p FROM {_words_sql(7).replace("benchmark WHERE item_id", "documents WHERE doc_id")})), hit AS (SELECT tok.id, pre.p, tok.term FROM tok JOIN pre ON starts_with(tok.term, pre.p)),
-ok AS (SELECT id FROM hit GROUP BY id HAVING count(DISTINCT p) = (SELECT count(*) FROM pre)), lex AS ({_LEX}) SELECT id, round(hits * 0.1::DOUBLE, 6) AS score, row_number() OVER (ORDER BY hits DESC, id) - 1 AS rank FROM lex JOIN ok USING (id) ORDER BY rank LIMIT 75""")
+@query(f"WITH asked AS (SELECT 0 AS query_id, {WORDS.format(c='text')}[1:7] AS w FROM documents WHERE doc_id = 0), {LEXICAL} SELECT id, score, rank FROM ({RANKED.format(k=75)})")
 def lexical_prefix_and(spark, sf_dir):
-    """Long query (seven words of document 0): every word's prefix must match."""
-    d = read(spark, sf_dir, "documents")
-    words = [w for w in re.split(r"\W+", d.where("doc_id = 0").first()["text"]) if len(w) >= 3][:7]
-    return R.lexical(R.postings(d), prefix_query(" ".join(words)), 75).select("id", rounded("score", "score"), "rank")
+    """Long query (seven words of document 0): every word's prefix must match; ranked by cover density."""
+    words = [w for w in re.split(r"\W+", read(spark, sf_dir, "documents").where("doc_id = 0").first()["text"]) if len(w) >= 3][:7]
+    return document_index(spark, sf_dir).lookup(prefix_query(" ".join(words)), 75).select("id", rounded("score", "score"), "rank")
 
 
 @query(f"""WITH tok AS ({_TOKENS}), pre AS ({_OR_TERMS}), lex AS ({_LEX}), l AS (SELECT id, row_number() OVER (ORDER BY hits DESC, id) - 1 AS rank FROM lex ORDER BY rank LIMIT 75), v AS ({_KNN.format(k=75)}),
@@ -85,7 +84,7 @@ g AS (SELECT id, sum(s) AS score, max(vec_rank) AS vec_rank, max(lex_rank) AS le
 def hybrid_rrf(spark, sf_dir):
     """Flagship: 75 nearest vectors and 75 best lexical documents fused to 15 (vec_id is taken for doc_id)."""
     v = R.knn(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 75, id_col="vec_id")
-    w = R.lexical(R.postings(read(spark, sf_dir, "documents")), prefix_query(_query_text(spark, sf_dir, 6)), 75)
+    w = document_index(spark, sf_dir).lookup(prefix_query(_query_text(spark, sf_dir, 6)), 75)
     return R.rrf(v, w, 15).select("id", rounded("score", "score"), "vec_rank", "lex_rank")
 
 
