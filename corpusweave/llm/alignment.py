@@ -35,6 +35,8 @@ from corpusweave.llm.common import cut, small_batches
 from corpusweave.llm.token_output import _BYTE_LEVEL, _ODD_SPACE, PieceCache, PieceEncoder
 
 ALIGNED = "doc_id long, a_ids binary, b_ids binary, a_ends binary, b_ends binary"
+#: Longer words are not kept.
+MOST_CHARS = 64
 _CHUNK = re.compile(" +[^ ]*")
 _ENCODERS: dict = {}
 
@@ -43,7 +45,7 @@ class WordCache(PieceCache):
     """Longer words are made anew each time."""
 
     def __missing__(self, piece: str) -> bytes:
-        return super().__missing__(piece) if len(piece) <= 64 else self.make(piece)
+        return super().__missing__(piece) if len(piece) <= MOST_CHARS else self.make(piece)
 
 
 class SpacedEncoder(PieceEncoder):
@@ -89,7 +91,9 @@ class SentenceEncoder:
         self.lengths = np.array([len(p) for p in self.bytes], np.int64)
         self.by_words = not any(re.search("[^▁]▁", p) for p in pieces)
         self.by_lines = not any("\n" in p for p in pieces)
-        self.spaced, self.first = WordCache(self._checked), WordCache(self._first)
+        #: Marks that no piece joins to a letter before them.
+        self.marks = "".join(m for m in ",.;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(m)}", p) for p in pieces))
+        self.spaced, self.first = WordCache(self._spaced), WordCache(self._first)
         self.blank, self.newline = self._ids("\n")[:4], self._ids("\n")[4:]
 
     def _ids(self, text: str) -> bytes:
@@ -101,6 +105,11 @@ class SentenceEncoder:
             raise ValueError
         return array("I", ids).tobytes()
 
+    def _spaced(self, word: str) -> bytes:
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.first[word[-1]]
+        return self._checked(word)
+
     def _first(self, word: str) -> bytes:
         return self._checked("\n" + word)[4 + len(self.newline) :] if word else b""
 
@@ -159,7 +168,8 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
         a0, a1, b0, b1, at_a, at_b = (x[cut_] for x in (a0, a1, b0, b1, at_a, at_b))
         cuts_a.append(at_a)
         cuts_b.append(at_b)
-        a0, a1, b0, b1 = np.concatenate([a0, at_a + 1]), np.concatenate([at_a, a1]), np.concatenate([b0, at_b + 1]), np.concatenate([at_b, b1])
+        # Both halves side by side: intervals stay in the order of the text.
+        a0, a1, b0, b1 = (np.stack(halves, 1).ravel() for halves in ((a0, at_a + 1), (at_a, a1), (b0, at_b + 1), (at_b, b1)))
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
