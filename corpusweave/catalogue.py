@@ -42,4 +42,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from corpusweave.plans import corpus_queries, evaluation_queries, feed_queries, guard_queries, index_queries, proximity_queries, retrieval_queries, text_queries, upkeep_queries  # noqa: F401
+    from corpusweave.plans import corpus_queries, evaluation_queries, feed_queries, guard_queries, index_queries, proximity_queries, retrieval_queries, similarity_queries, text_queries, upkeep_queries  # noqa: F401

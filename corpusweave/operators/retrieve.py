@@ -18,6 +18,7 @@ from pyspark.sql import types as T_
 from corpusweave.functions import text as T
 from corpusweave.functions.lexical import PrefixQuery
 from corpusweave.functions.vector import cosine
+from corpusweave.operators.similarity import best_names
 from corpusweave.scratch import cut
 
 RRF_K, VECTOR_WEIGHT, LEXICAL_WEIGHT = 60, 1.0, 3.0
@@ -217,17 +218,8 @@ def expand(hits: DataFrame, chunks: DataFrame, *, title: str = "title", pos: str
 
 
 def similar_names(mentions: DataFrame, catalog: DataFrame, *, mention: str = "mention", name: str = "name", least: float = 0.45) -> DataFrame:
-    """The catalog name most like each mention by trigram sets: mention, name, similarity >= least.
-
-    Names meet mentions through shared trigrams only (an equi-join on trigrams, counts summed before the second shuffle), never
-    pair by pair.
-    """
-    side = lambda df, c: df.select(F.col(c)).distinct().withColumn("_g", T.trigrams(F.col(c))).select(c, F.size("_g").alias(f"_n_{c}"), F.explode("_g").alias("_gram"))
-    both = side(mentions, mention).join(side(catalog, name), "_gram").groupBy(mention, name, f"_n_{mention}", f"_n_{name}").agg(F.count("*").alias("_both"))
-    sim = F.col("_both") / (F.col(f"_n_{mention}") + F.col(f"_n_{name}") - F.col("_both"))
-    scored = both.select(mention, name, sim.alias("similarity")).where(F.col("similarity") >= least)
-    w = Window.partitionBy(mention).orderBy(F.desc("similarity"), name)
-    return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The catalog name most like each mention by trigram sets: mention, name, similarity >= least."""
+    return best_names(mentions, catalog, mention=mention, name=name, least=least)
 
 
 def distribution(docs: DataFrame, key: Column, label: Column, date: Column) -> DataFrame:
