@@ -1,19 +1,14 @@
-"""Field-weighted search and an inverted file of vectors."""
+"""Field-weighted search."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as T
-from corpusweave.scratch import cut
-
-#: Vectors that centroids are fitted on at most, and the factor of the square root of their number that gives the lists.
-FIT_ROWS, LISTS = 20_000, 1.0
 
 
 @dataclass(frozen=True)
@@ -55,50 +50,3 @@ def field_weighted(docs: DataFrame, fields: tuple[Field, ...], query: str, k: in
     rows = rows.where(F.col("score") >= min_score) if min_score > 0 else rows
     top = rows.orderBy(F.desc("score"), "id").limit(k)
     return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).cast("long"))
-
-
-class VectorLists:
-    """Every vector under its nearest centroid. Centroids are fitted on a bounded sample (FIT_ROWS); all rows are indexed."""
-
-    def __init__(self, centroids: np.ndarray, rows: DataFrame):
-        self.centroids, self.rows = centroids, rows
-
-    @staticmethod
-    def build(vectors: DataFrame, *, id_col: str = "id", vec: str = "embedding", fit_rows: int = FIT_ROWS, rounds: int = 10) -> VectorLists:
-        rows = vectors.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-        n = rows.count()
-        drawn = rows.where(F.rand(3) < min(1.0, fit_rows / max(n, 1))).select("v").toPandas()["v"]
-        x = _unit(np.array(drawn.tolist(), float)) if len(drawn) else np.zeros((1, 1))
-        c = x[np.random.default_rng(5).permutation(len(x))[: max(1, int(LISTS * len(x) ** 0.5))]]
-        for _ in range(rounds):
-            near = (x @ c.T).argmax(1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, near, x)
-            c = np.where(np.bincount(near, minlength=len(c))[:, None] > 0, _unit(sums), c)
-        return VectorLists(c, cut(rows.withColumn("list", _nearest(c, 1)("v")[0]), "vector-lists"))
-
-    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """query_id, id, score, rank of the k best in the `probes` nearest lists of each query(query_id, query_vec)."""
-        asked = queries.select("query_id", F.col("query_vec").cast("array<double>").alias("q")).withColumn("list", F.explode(_nearest(self.centroids, probes)("q")))
-        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-        dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        scored = self.rows.join(asked, "list").select("query_id", "id", F.try_divide(dot, norm(F.col("q")) * norm(F.col("v"))).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
-        return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("query_id", "id", "score", (F.col("rn") - 1).cast("long").alias("rank"))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-
-
-def _nearest(centroids: np.ndarray, n: int):
-    n = min(n, len(centroids))
-
-    @F.pandas_udf("array<int>")
-    def lists(v):
-        x = _unit(np.array(v.tolist(), float)) @ centroids.T
-        import pandas as pd
-
-        return pd.Series(np.argsort(-x, axis=1, kind="stable")[:, :n].tolist())
-
-    return lists

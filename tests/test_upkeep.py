@@ -7,7 +7,7 @@ from corpusweave.functions import markup as M
 from corpusweave.functions import text as T
 from corpusweave.operators import index as I
 from corpusweave.operators import retrieve as R
-from corpusweave.operators import weighted as W
+from corpusweave.operators.quantised import QuantisedLists
 from corpusweave.plans import upkeep_queries as Q
 
 
@@ -23,7 +23,7 @@ def test_lists_of_vectors_find_most_neighbours(spark, sf_dir):
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     exact = {(r.query_id, r.id) for r in R.knn_many(e, asked, 10, id_col="vec_id").collect()}
     assert len(found & exact) >= 0.9 * len(exact) > 0
-    assert W.VectorLists.build(e, id_col="vec_id").rows.count() == e.where("embedding is not null").count()
+    assert QuantisedLists.build(e, id_col="vec_id").rows.count() == e.where("embedding is not null").count()
 
 
 def test_batch_search_limits_groups_before_the_shuffle(spark, sf_dir):
