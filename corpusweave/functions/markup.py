@@ -16,8 +16,8 @@ LAW_PATTERNS = (
     ("chok_knesset", r"חוק\s+הכנסת"),
 )
 SECTION = r"סעיף\s+(\d+[א-ת]?)"
-# Name of a download without one, its suffix, and its longest length.
-DOCUMENT_NAME, DOCUMENT_SUFFIX, DOCUMENT_LENGTH = "botnim-document.docx", ".docx", 100
+# Name of a download without one (a neutral default), and fixed values: its suffix and its longest length.
+DOCUMENT_NAME, DOCUMENT_SUFFIX, DOCUMENT_LENGTH = "document.docx", ".docx", 100
 # Fixed value: brackets and their mirror images.
 BRACKETS = ("()[]{}", ")(][}{")
 
@@ -37,12 +37,12 @@ def law_section(c: Column, urls: dict[str, str], patterns=LAW_PATTERNS, section:
     return F.concat(first["url"], F.lit("#" + anchor), _or_null(F.regexp_extract(clean, section, 1)))
 
 
-def document_name(c: Column) -> Column:
+def document_name(c: Column, default: str = DOCUMENT_NAME) -> Column:
     """Control characters and slashes gone, a default for nothing, one suffix, a hundred characters at most."""
     name = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1f/\\]", ""))
     full = F.when(F.endswith(F.lower(name), F.lit(DOCUMENT_SUFFIX)), name).otherwise(F.concat(name, F.lit(DOCUMENT_SUFFIX)))
     cut = F.concat(F.substring(full, 1, DOCUMENT_LENGTH - len(DOCUMENT_SUFFIX)), F.lit(DOCUMENT_SUFFIX))
-    return F.when(name == "", DOCUMENT_NAME).when(F.length(full) > DOCUMENT_LENGTH, cut).otherwise(full)
+    return F.when(name == "", default).when(F.length(full) > DOCUMENT_LENGTH, cut).otherwise(full)
 
 
 def absolute_links(c: Column, page: str, host: str) -> Column:

@@ -147,7 +147,7 @@ def law_sections(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", M.law_section(said, {"takanon": "https://laws/takanon", "chok_knesset": "https://laws/knesset"}).alias("url"))
 
 
-@query("SELECT doc_id, CASE WHEN n = '' THEN 'botnim-document.docx' WHEN length(f) > 100 THEN f[1:95] || '.docx' ELSE f END AS name FROM (SELECT *, CASE WHEN lower(n) LIKE '%.docx' THEN n ELSE n || '.docx' END AS f FROM (SELECT doc_id, trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[\\x00-\\x1f/\\\\]', '', 'g')) AS n FROM documents))")
+@query("SELECT doc_id, CASE WHEN n = '' THEN 'document.docx' WHEN length(f) > 100 THEN f[1:95] || '.docx' ELSE f END AS name FROM (SELECT *, CASE WHEN lower(n) LIKE '%.docx' THEN n ELSE n || '.docx' END AS f FROM (SELECT doc_id, trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[\\x00-\\x1f/\\\\]', '', 'g')) AS n FROM documents))")
 def document_names(spark, sf_dir):
     """Download names from first lines."""
     return read(spark, sf_dir, "documents").select("doc_id", M.document_name(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))).alias("name"))

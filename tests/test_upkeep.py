@@ -45,7 +45,7 @@ def test_error_kinds(spark):
 
 
 def test_markup(spark):
-    assert one(spark, M.document_name, None, " ", "a/b\x01", "R.DOCX", "n" * 120) == ["botnim-document.docx", "botnim-document.docx", "ab.docx", "R.DOCX", "n" * 95 + ".docx"]
+    assert one(spark, M.document_name, None, " ", "a/b\x01", "R.DOCX", "n" * 120) == ["document.docx", "document.docx", "ab.docx", "R.DOCX", "n" * 95 + ".docx"]
     assert one(spark, M.unwrapped, '{"a":[{"x":1},{"x":2}]}', '{"a":1,"b":[{"x":1}]}', '{"a":[1]}', '[{"y":1}]') == [['{"x":1}', '{"x":2}'], ['{"a":1,"b":[{"x":1}]}'], ['{"a":[1]}'], ['{"y":1}']]
     assert one(spark, lambda c: M.absolute_links(c, "P", "H"), "[a](#b) [c](#) [d](http://x/%41+b) (http://x/%41) [e](https://y/%zz)") == ["[a](P#b) [c](#) [d](http://x/A+b) (http://x/%41) [e](https://y/%zz)"]
     assert one(spark, M.greatest_listed, "24, 25,,7", "", None) == [25, 0, 0]
