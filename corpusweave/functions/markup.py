@@ -116,9 +116,10 @@ def greatest_listed(c: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.filter(F.split(c, ","), lambda p: F.trim(p) != ""), lambda p: F.trim(p).cast("int"))), F.lit(0))
 
 
-def list_preview(items: Column, most: int = 3) -> Column:
-    """The first items, and how many more there are."""
-    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(F.size(items) > most, F.concat(F.lit(" (+"), (F.size(items) - most).cast("string"), F.lit(" more)"))).otherwise(""))
+def list_preview(items: Column, most: int = 3, total: Column | None = None) -> Column:
+    """The first items, and how many more there are (of total, if the list was cut before)."""
+    n = F.size(items) if total is None else total
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(n > most, F.concat(F.lit(" (+"), (n - most).cast("string"), F.lit(" more)"))).otherwise(""))
 
 
 def page_links(parsed: Column) -> Column:

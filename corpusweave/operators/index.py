@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.scratch import cut
+
 
 def token_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` white-space tokens, each starting size - overlap after the last, ending with the one that reaches the end."""
@@ -152,12 +154,12 @@ def force_rebuild(stored: DataFrame, incoming: DataFrame, context: str = "contex
 def upsert_ids(known: DataFrame, names: DataFrame, keys: list[str], now: str) -> DataFrame:
     """known(keys, id, updated_at) with names: a known key keeps its id and gets a new time, new ones follow in order of the keys.
 
-    New ids go on from the greatest known one; only keys that are new are numbered in one window.
+    New ids go on from the greatest known one.
     """
     came = names.select(*keys).distinct()
     both = known.join(came.withColumn("_came", F.lit(True)), keys, "left")
     kept = both.select(*keys, "id", F.when(F.col("_came"), F.lit(now)).otherwise(F.col("updated_at")).alias("updated_at"))
-    new = came.join(known.select(*keys), keys, "left_anti").withColumn("_rn", F.row_number().over(Window.orderBy(*keys)))
+    new = numbered(came.join(known.select(*keys), keys, "left_anti"), keys, "_rn")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     return kept.unionByName(new.crossJoin(F.broadcast(top)).select(*keys, (F.col("_top") + F.col("_rn")).alias("id"), F.lit(now).alias("updated_at")))  # top is one row
 
@@ -223,8 +225,57 @@ def snapshot_counts(docs: DataFrame, *, levels: list[str], source: str, doc: Col
 
 
 def fingerprint(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
-    """SHA-256 over the sorted lines of each group: the same for every order of rows."""
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.count("*").alias("n_lines"))
+    """SHA-256 over the sorted lines of each group, null lines left out: the same for every order of rows.
+
+    Lines are sorted within hash partitions of the groups and digested as they come: only a running state is held of a group.
+    """
+    lines = rows.select(*by, line.cast("string").alias("_line")).repartition(*by).sortWithinPartitions(*by, "_line")
+    kinds = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in by)
+    return lines.mapInArrow(_digests(len(by)), f"{kinds}, fingerprint string, n_lines long")
+
+
+def _digests(width: int):
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        key, state, n, any_line, done, schema = None, None, 0, False, [], None
+
+        def flush() -> pa.RecordBatch:
+            cells = list(zip(*done)) or [()] * (width + 2)
+            kinds = [*schema.types[:width], pa.string(), pa.int64()]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], [*schema.names[:width], "fingerprint", "n_lines"])
+
+        for batch in batches:
+            schema = batch.schema
+            for *now, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, state.hexdigest(), n))
+                    key, state, n, any_line = now, hashlib.sha256(), 0, False
+                n += 1
+                if text is not None:
+                    state.update(b"\n" * any_line + text.encode())
+                    any_line = True
+            if len(done) > 10_000:
+                yield flush()
+        if key is not None:
+            done.append((*key, state.hexdigest(), n))
+        if done:
+            yield flush()
+
+    return run
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "_n") -> DataFrame:
+    """rows with their place in order, from 1: places inside range partitions, and the counts of the partitions before."""
+    placed = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    heads = placed.groupBy("_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select("_part", "_before")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_in", inside).join(F.broadcast(heads), "_part").select(*rows.columns, (F.col("_before") + F.col("_in")).alias(name))
 
 
 def link_fingerprint(links: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.functions.markup import list_preview
 from corpusweave.functions.text import blank_to_null, ellipsis
 
 NO_RESULTS = "No results found."
@@ -70,3 +71,11 @@ def to_text(hits: DataFrame, form: str = "text", *, limit: int = 200) -> str:
     if form == "text-short":
         return "\n".join(r["content"].strip().split("\n")[0] for r in rows)
     return f"\n{RULE}\n".join(f"[Score: {r['score']:.2f}]\n{r['content']}" for r in rows)
+
+
+def previews(rows: DataFrame, by: list[str], item: str, most: int = 3) -> DataFrame:
+    """by and preview: the least `most` items of each group and how many more there are; only those shown are gathered."""
+    first = rows.select(*by, item).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(item))).where(F.col("_n") <= most)
+    shown = first.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col(item).cast("string").alias("i")))), lambda x: x["i"]).alias("_shown"))
+    counts = rows.groupBy(*by).agg(F.count(item).alias("_total"))
+    return shown.join(counts, by).select(*by, list_preview(F.col("_shown"), most, F.col("_total")).alias("preview"))

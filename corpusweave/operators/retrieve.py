@@ -202,8 +202,11 @@ def expand(hits: DataFrame, chunks: DataFrame, *, title: str = "title", pos: str
     chunks are used, hits pass through as they are; hits without a title always do.
     """
     near = chunks.join(hits.select(title).where(F.col(title).cast("string") != "").distinct(), title, "left_semi")
-    docs = near.groupBy(title).agg(F.sort_array(F.collect_list(F.struct(F.coalesce(pos, F.lit(0)).alias("p"), F.col(id_col).alias("i"), F.col(content).alias("c")))).alias("_all"))
-    docs = docs.select(title, F.slice("_all", 1, most).alias("_kept"), (F.size("_all") > most).alias("_more"))
+    near = near.select(title, F.coalesce(pos, F.lit(0)).alias("_p"), F.col(id_col).alias("_i"), F.col(content).alias("_c"))
+    # Ranked first and counted apart: of a long document only the chunks that are shown are gathered.
+    first = near.withColumn("_n", F.row_number().over(Window.partitionBy(title).orderBy("_p", "_i", "_c"))).where(F.col("_n") <= most)
+    kept = first.groupBy(title).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col("_c").alias("c")))), lambda x: F.struct(x["c"].alias("c"))).alias("_kept"))
+    docs = kept.join(near.groupBy(title).agg((F.count("*") > most).alias("_more")), title)
     rows = hits.join(docs, title, "left")
     known = F.col("_kept").isNotNull()
     rows = rows.withColumn("_seen", F.when(known, F.row_number().over(Window.partitionBy(title).orderBy("rank"))).otherwise(F.lit(1))).where("_seen = 1")

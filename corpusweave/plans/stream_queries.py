@@ -24,3 +24,17 @@ def synced_table(spark, sf_dir):
     found = table.where("conv_id is not null and text <> '' and turn is not null")
     settled = found.groupBy(F.col("conv_id").cast("string").alias("filename")).agg(F.max("turn").alias("newest")).where(F.col("newest") < found.agg(F.max("turn")).scalar())
     return sync.current(spark.read.schema(sync.CHANGES).parquet(f"{base}/log")).join(settled, "filename", "left_semi").select("filename", "content_hash", "position")
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2)
+SELECT window_start, event_type, n, round(total, 4) AS total FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def streamed_windows(spark, sf_dir):
+    """Hourly windows as a stream gives them: those that the watermark has closed, each once."""
+    from corpusweave.streaming import events as S
+
+    schema = read(spark, sf_dir, "events").schema
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    rows = stream_table(spark, f"{sf_dir}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    S.run_available(S.tumbling(rows), f"{base}/out", f"{base}/checkpoint")
+    out = spark.read.schema("window_start timestamp, event_type string, n long, total double").parquet(f"{base}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -11,6 +11,7 @@ from corpusweave.functions import text as T
 from corpusweave.operators import index as I
 from corpusweave.operators import weighted as W
 from corpusweave.operators.quantised import QuantisedLists
+from corpusweave.operators.results import previews
 
 
 @query("""WITH k AS (SELECT n_name AS name, n_nationkey + 1 AS id FROM nation), c AS (SELECT DISTINCT 'NATION_' || (n_nationkey + 5) AS name FROM nation),
@@ -109,8 +110,7 @@ def document_order(spark, sf_dir):
 @query("SELECT o_custkey, array_to_string(k[1:3], ', ') || CASE WHEN len(k) > 3 THEN ' (+' || (len(k) - 3) || ' more)' ELSE '' END AS preview FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS k FROM orders GROUP BY o_custkey)")
 def list_previews(spark, sf_dir):
     """First three entries of a list, and how many more there are."""
-    k = F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(M.list_preview(k).alias("preview"))
+    return previews(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag AS title FROM lineitem WHERE l_linenumber % 3 = 0 AND l_linestatus = 'O'")
