@@ -53,7 +53,10 @@ def candidate_pairs(mentions: DataFrame, catalog: DataFrame, *, mention: str = "
 def similar_pairs(mentions: DataFrame, catalog: DataFrame, *, mention: str = "mention", name: str = "name", least: float = 0.45) -> DataFrame:
     """All pairs (mention, name, similarity) with a trigram in common and a similarity of `least` or more."""
     pairs = candidate_pairs(mentions, catalog, mention=mention, name=name, least=least).distinct()
-    scored = pairs.withColumn("similarity", T.set_similarity(T.trigrams(F.col(mention)), T.trigrams(F.col(name))))
+    grams = lambda names, c: _sets(names, c).select(F.col("name").alias(c), F.col("grams").alias(f"_{c}"))
+    whole = pairs.join(grams(mentions, mention), mention).join(grams(catalog, name), name)
+    both = F.size(F.array_intersect(f"_{mention}", f"_{name}"))
+    scored = whole.select(mention, name, (both / (F.size(f"_{mention}") + F.size(f"_{name}") - both)).alias("similarity"))
     return scored.where((F.col("similarity") >= least) & (F.col("similarity") > 0))
 
 

@@ -18,12 +18,12 @@ def _titles(spark, sf_dir):
 @query(f"""WITH {_TITLES}, n AS (SELECT DISTINCT title AS name FROM t), m AS (SELECT DISTINCT substr(title, 4) || ' x' AS mention FROM t WHERE page_id % 20 = 0),
 a AS (SELECT mention, unnest({_GRAMS.format(c="mention")}) AS g FROM m), b AS (SELECT name, unnest({_GRAMS.format(c="name")}) AS g FROM n),
 na AS (SELECT mention, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT name, count(*) AS nb FROM b GROUP BY 1), o AS (SELECT mention, name, count(*) AS o FROM a JOIN b USING (g) GROUP BY 1, 2)
-SELECT mention, name, round(o / (na + nb - o)::DOUBLE, 6) AS similarity FROM o JOIN na USING (mention) JOIN nb USING (name) WHERE o / (na + nb - o)::DOUBLE >= 0.3""")
+SELECT mention, name, round(o / (na + nb - o)::DOUBLE, 6) AS similarity FROM o JOIN na USING (mention) JOIN nb USING (name) WHERE o / (na + nb - o)::DOUBLE >= 0.45""")
 def similar_titles(spark, sf_dir):
-    """All titles like a cut one (every twentieth page's) at 0.3 or more."""
+    """All titles like a cut one (every twentieth page's) at 0.45 or more."""
     t = _titles(spark, sf_dir)
     m = t.where("page_id % 20 = 0").select(F.concat(F.expr("substr(title, 4)"), F.lit(" x")).alias("mention"))
-    return S.similar_pairs(m, t.withColumnRenamed("title", "name"), least=0.3).select("mention", "name", rounded("similarity", "similarity"))
+    return S.similar_pairs(m, t.withColumnRenamed("title", "name"), least=0.45).select("mention", "name", rounded("similarity", "similarity"))
 
 
 @query(f"""WITH {_TITLES}, q AS (SELECT page_id AS query_id, array_to_string(string_split(title, ' ')[2:3], ' ') AS q FROM t WHERE page_id % 20 = 0),
