@@ -3,12 +3,14 @@
 Each heuristic votes low (1) or fine (0) on a document, or abstains (null); they overlap and err. All documents are voted on,
 and counted by vote pattern: at most 3**len(HEURISTICS) patterns, whose counts alone reach the driver. EM of the
 one-coin model (each labeller's votes are right at a rate of its own) gives the labellers' accuracies and each pattern's
-posterior. Posteriors of a bounded sample (about SAMPLE_ROWS rows, each drawn by itself, so copies don't come together) train a
-logistic scorer over hashed features: words, their endings and shapes, and densities, so that it also scores documents that no
-heuristic votes on.
+posterior. Posteriors of a bounded sample (about SAMPLE_ROWS rows, drawn by a hash of id and text) train a logistic scorer over
+hashed features: words, their endings and shapes, and densities, so that it also scores documents that no heuristic votes on.
+The sample is dealt into BLOCKS blocks by the same hash; each is fitted in a task of its own, and the scorer's weights are the
+blocks' mean, so that the driver sees vectors of weights only. Neither draw, blocks nor the order inside a block depend on how
+the rows are partitioned, and so the scores don't.
 
 Defined cases: null and blank texts get all votes that need no words, and the score of an empty feature vector; repeated rows
-and null ids are scored each; extra columns are ignored; an empty table gives an empty result; if all documents look alike
+and null ids are scored each, and vote each, but rows equal in id and text are drawn once; extra columns are ignored; an empty table gives an empty result; if all documents look alike
 (one class only), every score is that class's posterior.
 """
 
@@ -28,7 +30,7 @@ from corpusweave.llm.common import cut, forget, small_batches
 
 #: Nine labellers. The first seven say "low" or abstain, the last two say "fine" or abstain.
 HEURISTICS = ("capitals", "marked_words", "odd_characters", "bare_symbols", "table", "repeated_lines", "repeated_words", "prose", "steady")
-SAMPLE_ROWS = 2_500
+SAMPLE_ROWS, BLOCKS = 20_000, 8
 #: Hashed places: densities, word shapes, then words and their endings (the last three characters).
 SHAPES, PLACES = 1 << 12, 1 << 16
 DIM = SHAPES + 2 * PLACES
@@ -118,22 +120,20 @@ def _spelled(votes: list[int | None]) -> str:
     return "".join("-" if v is None else str(int(bool(v))) for v in votes)
 
 
-def _read(with_features: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in batches:
-            votes, at, values = [], [], []
-            for t in batch.column(1):
-                v, (a, x) = reader.read(t.as_py() or "", with_features)
-                votes.append(_spelled(v))
-                at.append(a)
-                values.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "votes", "at", "x"])
-
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash if drawn, text) to votes, and of drawn rows the features."""
+    reader = Reader()
+    for batch in batches:
+        votes, at, values = [], [], []
+        for drawn, t in zip(batch.column(0), batch.column(1)):
+            v, (a, x) = reader.read(t.as_py() or "", drawn.is_valid)
+            votes.append(_spelled(v))
+            at.append(a if drawn.is_valid else None)
+            values.append(x.astype(np.float32) if drawn.is_valid else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["h", "votes", "at", "x"])
 
 
-READ = "doc_id long, votes string, at array<int>, x array<double>"
+READ = "h long, votes string, at array<int>, x array<float>"
 
 
 def em(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
@@ -181,23 +181,39 @@ class QualityModel:
         self.weights, self.posteriors, self.rates, self.prior = weights, posteriors, rates, prior
 
 
+def _fit_block(posteriors: dict[str, float], prior: float):
+    """Weights of one block of the sample, and its number of rows; rows equal in id and text count once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        h = table.column("h").to_numpy()
+        table = table.filter(pa.array(np.concatenate([[True], h[1:] != h[:-1]])))
+        y = np.array([posteriors.get(v, prior) for v in table.column("votes").to_pylist()], float)
+        weights = train_linear(_views(table, "at"), _views(table, "x"), y)
+        return pa.table({"block": pa.array([int(h[0]) % BLOCKS], pa.int32()), "n": pa.array([len(y)], pa.int64()), "w": pa.array([weights.tobytes()], pa.binary())})
+
+    return run
+
+
 def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Votes of all documents fit the label model; the sample fits the scorer."""
+    """Votes of all documents fit the label model; the sample fits the scorer. Reads the texts once."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string"))
-    found = rows.mapInArrow(_read(False), READ).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))
+    read = cut(rows.select(F.when(drawn, F.col("h")).alias("h"), "text").mapInArrow(_read, READ), "quality-votes")
+    found = read.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()  # at most 3 ** len(HEURISTICS) patterns
     if not found:
         return QualityModel(np.zeros(DIM), {}, None, 0.0)
     counts = np.array([r["n"] for r in found], float)
     post, rates, prior = em([r["votes"] for r in found], counts)
     posteriors = {r["votes"]: float(p) for r, p in zip(found, post)}
-    share = min(1.0, sample_rows / counts.sum())
-    drawn = rows.where(F.rand(23) < share) if share < 1 else rows
-    kept = cut(drawn.mapInArrow(_read(True), READ).select("votes", "at", F.col("x").cast("array<float>").alias("x")), "quality-sample")
-    sample = kept.toArrow()
-    forget(kept)
-    y = np.array([posteriors.get(v, prior) for v in sample.column("votes").to_pylist()], float)
-    weights = train_linear(_views(sample, "at"), _views(sample, "x"), y) if len(y) else np.zeros(DIM)
+    # Equal rows leave before the shuffle as far as a task holds them, the others in their block.
+    sample = read.where("h is not null").dropDuplicates(["h"]).withColumn("block", F.pmod("h", F.lit(BLOCKS)))
+    blocks = sample.groupBy("block").applyInArrow(_fit_block(posteriors, prior), "block int, n long, w binary").toArrow().sort_by("block").to_pylist()  # BLOCKS rows at most
+    forget(read)
+    total = sum(b["n"] for b in blocks)
+    weights = sum((np.frombuffer(b["w"]) * (b["n"] / total) for b in blocks), np.zeros(DIM))
     return QualityModel(weights, posteriors, rates, prior)
 
 

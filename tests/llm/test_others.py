@@ -259,8 +259,47 @@ def test_linear_scorer_learns():
 
 def test_sample_is_bounded_under_copies(spark):
     rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text of many copies").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
-    drawn = [rows.where(F.rand(23) < 1000 / 60_000).count(), rows.where(F.rand(7) < 1000 / 60_000).count()]  # as fit() and _sample() draw
-    assert all(700 < n < 1300 for n in drawn)
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
+    assert 700 < rows.where(h < int(1000 / 60_000 * (1 << 30))).count() < 1300  # as fit() draws
+
+
+def test_quality_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir[:-5]}0.01/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(400)).drop("id"))  # a third of the rows alike
+    models = [quality.fit(d, sample_rows=300) for d in (docs, docs.repartition(7), docs.repartition(3, "source"))]
+    assert models[0].posteriors == models[1].posteriors == models[2].posteriors
+    assert all(np.array_equal(models[0].weights, m.weights) for m in models[1:]) and models[0].weights.any()
+
+
+def test_quality_against_brute_force(spark, sf_dir):
+    """Votes counted, labels weighed and blocks fitted by plain loops give the query's scores."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    hashes = {r.doc_id: r.h for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).collect()}
+    reader, read = quality.Reader(), {}
+    for i, text in rows:
+        votes, (at, x) = reader.read(text or "")
+        read[i] = "".join("-" if v is None else str(int(bool(v))) for v in votes), at, x.astype(np.float32)
+    patterns = sorted({v for v, _, _ in read.values()})
+    counts = np.array([sum(v == p for v, _, _ in read.values()) for p in patterns], float)
+    posterior = dict(zip(patterns, quality.em(patterns, counts)[0]))
+    weights = np.zeros(quality.DIM)
+    for block in range(quality.BLOCKS):
+        ids = sorted((i for i in read if hashes[i] % quality.BLOCKS == block), key=hashes.get)
+        if ids:
+            w, seen = np.zeros(quality.DIM), np.full(quality.DIM, 1e-6)
+            for _ in range(80):
+                g = 1e-4 * w
+                for i in ids:
+                    v, at, x = read[i]
+                    error = 1 / (1 + np.exp(-(w[at] * x).sum())) - posterior[v]
+                    np.add.at(g, at, x * error / len(ids))
+                seen += g * g
+                w -= 0.5 * g / np.sqrt(seen)
+            weights += w * len(ids) / len(rows)
+    for r in quality.quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect():
+        _, (at, x) = reader.read(dict(rows)[r.doc_id] or "")
+        assert r.score == pytest.approx(1 / (1 + np.exp(float(weights[at] @ x))), abs=1e-3)
+        assert r.weak_label == pytest.approx(1 - posterior[read[r.doc_id][0]])
 
 
 def test_quality_odd_rows(odd, none):
