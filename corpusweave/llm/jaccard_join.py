@@ -8,10 +8,10 @@ join first finds the groups inside which distances say something, and joins thes
    and are done.
 2. Groups. Documents left are ordered by exact shingle frequencies among them. Two linked ones share one of their first
    quarter of shingles, rare ones first; what hangs together by these is a group, and no link leaves it.
-3. Voronoi regions. A group too big for a task takes pivots. A document belongs to the region of its nearest pivot, or to the
+3. Voronoi regions. A group of more than REGION_MEMBERS documents takes pivots. A document belongs to the region of its nearest pivot, or to the
    rest region if all are farther than twice the threshold distance, and is copied to every region where the triangle
    inequality leaves room for a link. Regions recurse with new pivots. A region that pivots cannot split (all its documents
-   are alike) is joined in blocks.
+   are alike) is joined in blocks of CELL_MEMBERS documents, mostly one.
 4. Every region is joined exactly in its own task; each document is counted in its own region only.
 
 Rows that carry pairs are never made. Hot shingles are combined within blocks of documents, exact copies are one node, and
@@ -40,9 +40,12 @@ from corpusweave.llm.shingles import SHINGLE_WORDS, SIMILARITY_PERCENT, shingle_
 
 #: Shingles that a task holds at once while it combines equal ones.
 BLOCK_SHINGLES = 500_000
-#: A region of more documents, or shingles, than this is split further.
-CELL_MEMBERS, CELL_SHINGLES = 1024, 2_000_000
-PIVOTS = 16
+#: A region of more documents, or shingles, than this takes pivots.
+REGION_MEMBERS, CELL_SHINGLES = 32, 2_000_000
+#: Documents in a block of a region that pivots cannot split.
+CELL_MEMBERS = 1024
+#: Pivots of a region: twice the root of its size, within these bounds.
+PIVOTS = 16, 256
 #: Pivots split a region if its largest part has less than this share of it and the parts together no more than so many times its rows.
 SHRINK, COPIES = 0.7, 3
 #: The screen sends one shingle in so many of a set beyond those that a prefix filter needs.
@@ -365,17 +368,17 @@ def _too_big(members: int, shingles: int) -> Column:
     return (F.col("k") > members) | (F.col("weight") > shingles)
 
 
-def _cells(members: DataFrame, percent: int, cell_members: int, cell_shingles: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _cells(members: DataFrame, percent: int, region_members: int, cell_members: int, cell_shingles: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """members in cells small enough for a task each; and the written tables that these are read from."""
     done, written, level = [], [members], 0
     while True:
-        big = cut(_sizes(members).where(_too_big(cell_members, cell_shingles)).select("cell", "k", F.greatest(F.ceil(F.col("k") / cell_members), F.ceil(F.col("weight") / cell_shingles)).cast("int").alias("chunks")), "jaccard-big")
+        big = cut(_sizes(members).where(_too_big(region_members, cell_shingles)).select("cell", "k", F.greatest(F.ceil(F.col("k") / cell_members), F.ceil(F.col("weight") / cell_shingles)).cast("int").alias("chunks")), "jaccard-big")
         done.append(members.join(big, "cell", "left_anti"))
         if big.isEmpty():
             return done, written
         rows = members.join(big, "cell").withColumn("h", F.xxhash64("node", F.lit(level)))
         spread = rows.withColumn("chunk", F.pmod("h", "chunks")).withColumn("pivot", F.lit(False))
-        pivots = rows.where(F.col("role") == QUERY | TARGET).where(F.pmod(F.shiftrightunsigned("h", 8), "k") < PIVOTS)
+        pivots = rows.where(F.col("role") == QUERY | TARGET).where(F.pmod(F.shiftrightunsigned("h", 8), "k") < F.least(F.lit(PIVOTS[1]), F.greatest(F.lit(PIVOTS[0]), F.ceil(2 * F.sqrt("k")))))
         pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("pivot", F.lit(True))
         both = spread.unionByName(pivots).select("cell", "chunk", "pivot", "node", "n", "role", "shingles")
         parts = cut(both.groupBy("cell", "chunk").applyInArrow(_regions(percent, level), f"parent long, {MEMBER}"), "jaccard-regions")
@@ -422,7 +425,7 @@ def _links(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, cell_members: int = CELL_MEMBERS, cell_shingles: int = CELL_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, region_members: int = REGION_MEMBERS, cell_members: int = CELL_MEMBERS, cell_shingles: int = CELL_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """The join, as two written tables: one row for each row of docs, and one for each set with links.
 
     Rows of docs: doc_id, mark (hash of the text), n (size of the set), node and twin (identity of the set; node null if empty).
@@ -450,7 +453,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     forget(own)
     forget(groups)
 
-    cells, written = _cells(members, percent, cell_members, cell_shingles)
+    cells, written = _cells(members, percent, region_members, cell_members, cell_shingles)
     links = [c.groupBy("cell").applyInArrow(_links(percent), "node long, root long, links long") for c in cells]
     linked = links[0]
     for more in links[1:]:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from corpusweave.llm import jaccard_join as J
+from corpusweave.llm.common import cut
 from corpusweave.llm.components import connected_components
 from corpusweave.llm.shingles import shingle_set
 
@@ -55,7 +56,23 @@ def test_regions_split_and_blocks_join_what_cannot_be_split(spark):
     passage = " ".join(f"p{i}" for i in range(400))
     # groups around one long passage hang together as one group of distant clusters, so pivots split it
     rows = [(d, t + " " + passage) for d, t in crowd(1, 6, 12, [0, 1, 2, 4, 6, 9], 130)]
-    check(spark, rows + crowd(2, 3, 25, [1, 3, 5, 6]) + [(70_000 + d, t) for d, t in crowd(3, 1, 60, [1, 2, 3])], cell_members=8, cell_shingles=4000)
+    check(spark, rows + crowd(2, 3, 25, [1, 3, 5, 6]) + [(70_000 + d, t) for d, t in crowd(3, 1, 60, [1, 2, 3])], region_members=8, cell_members=8, cell_shingles=4000)
+
+
+def test_pivots_split_with_production_parameters(spark, monkeypatch):
+    written = {}
+
+    def watched(df, name, **options):
+        out = cut(df, name, **options)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "cut", watched)
+    said = lambda g, i: " ".join(f"s{g % 6}x{i}x{k}" for k in range(8))
+    # six clusters of distant texts, whose members quote one of the next cluster each: one group, split by its pivots
+    rows = [(d, f"{t} {said(d // 10_000, d % 10_000)} {said(d // 10_000 + 1, d % 10_000)}") for d, t in crowd(1, 6, 12, [0, 1, 2, 4, 6, 9], 300)]
+    check(spark, rows + [(70_000 + d, t) for d, t in crowd(2, 2, 40, [1, 3])])
+    assert written["jaccard-split"] > 0 and written["jaccard-big"] > written["jaccard-split"]
 
 
 def test_screen_keeps_every_link():
