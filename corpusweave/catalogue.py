@@ -42,4 +42,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from corpusweave.plans import corpus_queries, evaluation_queries, feed_queries, feed_source_queries, guard_queries, increment_queries, index_queries, proximity_queries, retrieval_queries, similarity_queries, stream_queries, text_queries, upkeep_queries  # noqa: F401
+    from corpusweave.plans import corpus_queries, evaluation_queries, feed_queries, feed_source_queries, guard_queries, increment_queries, index_queries, proximity_queries, record_queries, retrieval_queries, similarity_queries, stream_queries, text_queries, upkeep_queries  # noqa: F401
