@@ -11,6 +11,9 @@ from corpusweave.scratch import shared_dir
 from corpusweave.streaming import sync
 from corpusweave.streaming.events import stream_table
 
+#: Seconds at turn 0: a stream's first watermark is 1970, and rows at or before it are late.
+_FIRST = 2**35
+
 
 @query("""WITH r AS (SELECT conv_id, turn, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text <> ''), n AS (SELECT conv_id, max(turn) AS newest FROM r GROUP BY 1)
 SELECT DISTINCT role_id AS filename, content_hash, position FROM (SELECT conv_id::VARCHAR AS role_id, md5(text) AS content_hash, min(length(text)) AS position FROM r JOIN n USING (conv_id) WHERE turn = newest AND newest < (SELECT max(newest) FROM n) GROUP BY 1, 2)""")
@@ -18,7 +21,7 @@ def synced_table(spark, sf_dir):
     """Each turn republishes its conversation; what the change log of the keyed stream leaves of those that a later turn settled."""
     table = read(spark, sf_dir, "conversations")
     stream = stream_table(spark, f"{sf_dir}/conversations.parquet", table.schema).where("conv_id is not null and text <> ''")
-    rows = stream.select(F.lit("conversations").alias("context"), F.col("conv_id").cast("string").alias("filename"), F.md5("text").alias("content_hash"), F.length("text").alias("position"), F.timestamp_seconds(F.col("turn") * 86400).alias("run_at"))
+    rows = stream.select(F.lit("conversations").alias("context"), F.col("conv_id").cast("string").alias("filename"), F.md5("text").alias("content_hash"), F.length("text").alias("position"), F.timestamp_seconds(F.col("turn") + _FIRST).alias("run_at"))
     base = f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}"
     sync.run_sync(spark, rows, f"{base}/log", f"{base}/checkpoint", late="0 seconds")
     found = table.where("conv_id is not null and text <> '' and turn is not null")

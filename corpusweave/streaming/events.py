@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def stream_table(spark: SparkSession, path: str, schema, **options) -> DataFrame:
-    """A file stream of one table; path may name a single file."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    glob = spark.readStream.format("parquet").schema(schema).options(**options)
-    return glob.option("pathGlobFilter", name).load(folder) if name.endswith(".parquet") else glob.load(path)
+    """A file stream of one table; path may name a single file or a folder of files."""
+    path = path.rstrip("/")
+    # As a pattern that only this name fits: sources of streams take folders and patterns, no names of files.
+    return spark.readStream.format("parquet").schema(schema).options(**options).load(f"{path[:-1]}[{path[-1]}]")
 
 
 def tumbling(events: DataFrame, *, ts: str = "ts", every: str = "1 hour", late: str = "1 hour", by: list[str] = ("event_type",)) -> DataFrame:

@@ -1,7 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusweave.operators import index as I
 from corpusweave.streaming import events as S
+from tests.oracle import compare
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
@@ -24,3 +26,23 @@ def test_sync_stream_is_idempotent(spark, tmp_path):
     assert first == {"h1", "h2"}
     S.sync_batches(str(tmp_path / "state"), I.next_state)(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), 0)
     assert spark.read.parquet(str(tmp_path / "state/state-0")).count() == 2
+
+
+def test_a_table_of_several_files_streams_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(c, t, "user", f"text {c} {t}") for c in range(6) for t in range(1 + c % 3)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many/conversations.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    got = [[], []]
+    for kept, path in zip(got, (tmp_path / "many/conversations.parquet", tmp_path / "conversations.parquet")):
+        S.run_available(S.stream_table(spark, str(path), rows.schema), "", str(tmp_path / f"cp{len(str(path))}"), each=lambda df, i, kept=kept: kept.extend(df.collect()))
+        assert sorted(kept) == sorted(rows.collect())
+
+
+def test_synced_table_of_several_files_equals_its_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = spark.createDataFrame([(c, t, "user", f"text {c} {t}") for c in range(6) for t in range(1 + c % 3)], "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    compare(entry.queries()["synced_table"](spark, str(tmp_path)), con, entry.oracle_sql()["synced_table"])
