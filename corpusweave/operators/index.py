@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corpusweave.scratch import cut
 
@@ -77,14 +78,24 @@ def pack_sections(text: str, size: int, overlap: int, encode: Callable = str.spl
     return chunks
 
 
+#: Texts that chunk() takes up at once.
+CHUNK_ROWS = 128
+
+
 def chunk(files: DataFrame, *, size: int = 400, overlap: int = 50, text: str = "content") -> DataFrame:
-    """One row per chunk: the file's columns, content, chunk_index, total_chunks, content_hash. Arrow batches, no shuffle."""
+    """One row per chunk: the file's columns, content, chunk_index, total_chunks, content_hash. Arrow batches, no shuffle; of a batch
+    only CHUNK_ROWS texts and their chunks are Python objects at once."""
+    kept = [c for c in files.columns if c != text]
+    schema = StructType([*(f for f in files.schema.fields if f.name != text), StructField("_c", ArrayType(StringType()))])
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_sections(t or "", size, overlap))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                few = batch.slice(at, CHUNK_ROWS)
+                chunks = pa.array([pack_sections(t.as_py() or "", size, overlap) for t in few.column(len(kept))], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*few.columns[: len(kept)], chunks], [*kept, "_c"])
 
-    rows = files.withColumn("_c", packed(text)).withColumn("total_chunks", F.size("_c")).select(*[c for c in files.columns if c != text], "total_chunks", F.posexplode("_c").alias("chunk_index", text))
+    rows = files.select(*kept, text).mapInArrow(packed, schema).withColumn("total_chunks", F.size("_c")).select(*kept, "total_chunks", F.posexplode("_c").alias("chunk_index", text))
     return rows.withColumn("content_hash", F.sha2(F.col(text), 256))
 
 

@@ -70,3 +70,13 @@ def test_results_do_not_depend_on_partitions(spark):
     incoming = table(spark, *[(f"f{i % 5}", f"h{i % 60}", i) for i in range(300)])
     one = sorted(I.delta_plan(stored.coalesce(1), incoming.coalesce(1)).collect())
     assert one == sorted(I.delta_plan(stored.repartition(13), incoming.repartition(7)).collect())
+
+
+def test_chunks_take_up_few_texts_at_once(spark, monkeypatch):
+    texts = [None, "", "one", "## a\n\n" + "x " * 30 + "\n## b\n\n" + "y " * 25] * 3
+    files = spark.createDataFrame([(t, i, float(i)) for i, t in enumerate(texts)], "content string, doc_id long, w double").coalesce(1)
+    monkeypatch.setattr(I, "CHUNK_ROWS", 5)
+    rows = I.chunk(files, size=20, overlap=5).orderBy("doc_id", "chunk_index").collect()
+    want = [(i, float(i), n, c) for i, t in enumerate(texts) for n, c in enumerate(I.pack_sections(t or "", 20, 5))]
+    assert [(r.doc_id, r.w, r.chunk_index, r.content) for r in rows] == want
+    assert all(r.total_chunks == sum(x[0] == r.doc_id for x in want) for r in rows)
