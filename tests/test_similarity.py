@@ -83,3 +83,39 @@ def test_quantised_index_of_odd_vectors(spark):
     got = index.search(e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")), 2)
     assert [r.id for r in got.where("query_id = 1").orderBy("rank").collect()] == [1, 6]
     assert Z.QuantisedLists.build(e.limit(0)).search(e.limit(0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")), 2).count() == 0
+
+
+def _tables(spark, names, mentions):
+    return spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame([(x,) for x in names], "name string")
+
+
+def test_pairs_are_verified_where_they_meet(spark):
+    rng = random.Random(5)
+    names = _names(rng, 400)
+    found = S.similar_pairs(*_tables(spark, names, names), least=0.45)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    # Few bytes, much work: small tables are not joined to one task.
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_extents_are_scored_where_texts_meet(spark):
+    rng = random.Random(6)
+    texts = spark.createDataFrame(list(enumerate(_names(rng, 400))), "id int, query_text string")
+    plan = S.word_similar(texts.withColumnRenamed("id", "query_id"), texts, 3, text="query_text")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and plan.count("Join") <= 1 and "REPARTITION_BY_NUM" in plan  # only queries take up their rows
+
+
+def test_several_groups_on_both_sides(spark, monkeypatch):
+    rng = random.Random(7)
+    names, mentions = _names(rng, 120), _names(rng, 60)
+    texts = spark.createDataFrame([(f"i{i:03}", x) for i, x in enumerate(names + names[:40] * 2 + ["a b " * 300])], "id string, text string")
+    queries = spark.createDataFrame(list(enumerate(mentions + mentions[:5])), "query_id int, query_text string")
+    def both():
+        return sorted(S.similar_pairs(*_tables(spark, names, mentions), least=0.3).collect()), sorted(S.word_similar(queries, texts, 4, least=0.4).collect())
+    whole = both()
+    for chars, least, vector in ((150, 1, 200), (1 << 20, 1, 1)):
+        monkeypatch.setattr(S, "GROUP_CHARS", chars)
+        monkeypatch.setattr(S, "LEAST_GROUPS", least)
+        monkeypatch.setattr(S, "VECTOR", vector)
+        assert both() == whole and all(whole)
