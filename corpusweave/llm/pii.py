@@ -2,8 +2,8 @@
 
 Strict patterns with validators give the base spans, which always stay. High-recall generators propose further, overlapping
 candidates (numbers in groups, written-out mail and network addresses, keys and passwords); boosted trees score them on format and
-context features, and one calibrated threshold a generator selects what is added. The trees are fitted by Spark ML on a bounded
-sample, then compiled to CASE expressions, so scoring is one narrow projection: no shuffle, no collected group,
+context features, and one calibrated threshold a generator selects what is added. The trees are fitted by Spark ML on all documents, as
+counts of equal features, then compiled to CASE expressions, so scoring is one narrow projection: no shuffle, no collected group,
 whole texts.
 
 Labels come from corruptions. Spans that a validator accepts are written again as people write them and validators refuse them
@@ -17,7 +17,7 @@ Patterns are written so that long runs cost linear time and no recursion (posses
 or at the end of the last match); their matches are those of the plain forms in BASE.
 
 Defined cases: null and empty texts have no spans; offsets count code points, end exclusive; equal rows give equal results;
-extra columns are ignored; an empty table gives an empty result; a sample without both labels adds nothing to the base spans.
+extra columns are ignored; an empty table gives an empty result; documents without both labels add nothing to the base spans.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.llm.common import cut, text_of
+from corpusweave.llm.common import cut, n_parts, text_of
 
 KINDS = ("email", "ip", "card", "phone", "contact", "number", "secret", "address")
 #: The contract's patterns, and the same matches without quadratic time or recursion.
@@ -50,14 +50,13 @@ GENERATORS = {
 CUES = r"(?i)(?:tel|phone|call|fax|mobil|handy|mail|contact|kontakt|card|iban|konto|account|ssn|passport|password|secret|token|key|ip|address|user|name)[^A-Za-z]{0,3}$"
 CUES_BEHIND = r"(?i)^[^A-Za-z0-9]{0,3}(?:tel|phone|fax|mobil|handy|cell|mail|ext|is my|ist meine|card|konto|account|password|secret|token|key|ip|address)"
 CONTEXT = 24
-SAMPLE_ROWS = 20_000
 PRECISION = 0.9
 BLOCK = 256
 #: Digits of a number-sized candidate, and of a chain that can be one number as a whole.
 NUMBER_DIGITS, CHAIN_DIGITS = (7, 19), 31
 FEATURES = ("digits", "letters", "length", "spaces", "dashes", "dots", "brackets", "equals", "upper", "cue", "cue_behind", "lead", "line", "digits_near", "g_contact", "g_number", "g_secret", "g_address")
-#: Spans of one text that are corrupted, kind by kind, and its numbers that are negatives, in the sample.
-PLANTS = 6
+#: Spark ML takes its split points from all rows up to the square of this.
+BINS = 256
 
 
 def _has(text: Column, what: str) -> Column:
@@ -246,15 +245,16 @@ def harmless(generator: str, before: Column, behind: Column, h: Column) -> Colum
     return F.array(*forms[generator])
 
 
-def planted(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Corruptions and harmless strings in short contexts of a bounded sample: generator, label, half, before, form, behind.
+def planted(docs: DataFrame, rows: int | None = None) -> DataFrame:
+    """Corruptions and harmless strings in short contexts of all texts: generator, label, half, before, form, behind.
 
-    Texts are drawn by a hash of id and text, rows equal in both once, so that the sample does not depend on partitions.
+    With rows, of about so many texts, drawn by a hash of id and text, rows equal in both once, so that they do not depend on partitions.
     """
     h = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    drawn = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text")).select(h.alias("h"), "text").where(F.rlike("text", F.lit("[0-9@=:]")))
-    share = int(min(1.0, rows / max(1, docs.count())) * (1 << 30))
-    texts = drawn.where(F.pmod(F.shiftrightunsigned("h", 8), F.lit(1 << 30)) < share).dropDuplicates(["h"])
+    texts = docs.select("doc_id", text_of(F.col("text").cast("string")).alias("text")).select(h.alias("h"), "text").where(F.rlike("text", F.lit("[0-9@=:]")))
+    if rows is not None:
+        share = int(min(1.0, rows / max(1, docs.count())) * (1 << 30))
+        texts = texts.where(F.pmod(F.shiftrightunsigned("h", 8), F.lit(1 << 30)) < share).dropDuplicates(["h"])
     text, width = F.col("text"), 2 * CONTEXT
     before = lambda at: F.substr(text, F.greatest(at - width + 1, F.lit(1)), F.least(at, F.lit(width)))
     behind = lambda at: F.substr(text, at + 1, F.lit(width))
@@ -268,7 +268,7 @@ def planted(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
             cued = F.rlike(l, F.lit(CUES)) | F.rlike(r, F.lit(CUES_BEHIND))
             return F.array(made(1.0, before(s["start"]), corrupted(kind, s["raw"]), behind(s["end"])), made(0.0, l, F.when(~cued, harmless(generator, l, r, key)), r))
 
-        return F.flatten(F.transform(F.slice(spans, 1, PLANTS), both))
+        return F.flatten(F.transform(spans, both))
 
     secret = F.lit(KINDS.index("secret"))
     keys = F.filter(matches(text, GENERATORS["secret"][0], "secret", F.rlike(text, F.lit(GENERATORS["secret"][1]))), lambda s: validated(s["raw"], secret))
@@ -276,48 +276,47 @@ def planted(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     refused = lambda c: ~reduce(lambda a, g: a | validated(c["span"]["raw"], F.lit(KINDS.index(g))), ("number", "address"), F.lit(False))
     plain = F.filter(candidates(text, "number"), lambda c: refused(c) & (c["f"]["cue"] == 0) & (c["f"]["cue_behind"] == 0))
     number = F.lit(KINDS.index("number"))
-    natural = F.transform(F.slice(plain, 1, PLANTS), lambda c: F.struct(number.alias("generator"), F.lit(0.0).alias("label"), before(c["span"]["start"]).alias("before"), F.array(c["span"]["raw"]).alias("forms"), behind(c["span"]["end"]).alias("behind")))
+    natural = F.transform(plain, lambda c: F.struct(number.alias("generator"), F.lit(0.0).alias("label"), before(c["span"]["start"]).alias("before"), F.array(c["span"]["raw"]).alias("forms"), behind(c["span"]["end"]).alias("behind")))
     found = texts.select(F.pmod("h", F.lit(2)).alias("half"), F.explode(F.concat(own, natural)).alias("p"))
     return found.select("half", "p.generator", "p.label", "p.before", "p.behind", F.explode("p.forms").alias("form"))
 
 
-def _scored_plants(docs: DataFrame, rows: int) -> DataFrame:
-    """generator, label, half and features f: of a corruption the candidate that is it (null: none is), of a harmless string each one that touches it."""
-    plants = cut(planted(docs, rows).repartition(4, F.xxhash64("before", "form", "behind")), "pii-plants")  # a small shuffle, so that the scan keeps its tasks
+def _scored_plants(docs: DataFrame, rows: int | None) -> DataFrame:
+    """generator, label, half, features f and n, how often: of a corruption the candidate that is it (null: none is), of a harmless string each one that touches it."""
+    plants = cut(planted(docs, rows).repartition(n_parts(docs.sparkSession), F.xxhash64("before", "form", "behind")), "pii-plants")  # a small shuffle, so that the scan keeps its tasks
     start, end = F.length("before"), F.length("before") + F.length("form")
     plants = plants.withColumn("text", F.concat("before", "form", "behind"))
     of = [F.when(F.col("generator") == KINDS.index(g), candidates(F.col("text"), g)) for g in GENERATORS]
     same = lambda c: F.when(F.col("label") == 1, (c["span"]["start"] == start) & (c["span"]["end"] == end)).otherwise((c["span"]["start"] < end) & (c["span"]["end"] > start))
-    return plants.select("generator", "label", "half", F.explode_outer(F.transform(F.filter(F.coalesce(*of), same), lambda c: c["f"])).alias("f"))
+    found = plants.select("generator", "label", "half", F.explode_outer(F.transform(F.filter(F.coalesce(*of), same), lambda c: c["f"])).alias("f"))
+    return found.groupBy("generator", "label", "half", "f").agg(F.count("*").alias("n"))
 
 
-def fit_selector(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Selector:
-    """Trees from one half of the sample; thresholds from the other: the lowest margin from which on precision holds."""
-    rows = cut(_scored_plants(docs, sample_rows).where("f is not null"), "pii-sample")
-    n = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+def fit_selector(docs: DataFrame, *, sample_rows: int | None = None, precision: float = PRECISION) -> Selector:
+    """Trees from one half of the documents; thresholds from the other: the lowest margin from which on precision holds."""
+    rows = cut(_scored_plants(docs, sample_rows).where("f is not null").sortWithinPartitions("half", "generator", "label", "f"), "pii-fit")
+    n = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.sum("n").alias("n")).collect()}
     if min(n.get((0, 0.0), 0), n.get((0, 1.0), 0)) < 5:
         return Selector(None, {})
-    x = rows.withColumn("features", array_to_vector(F.array(*[F.col(f"f.{f}") for f in FEATURES])))
-    model = GBTClassifier(labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=5).fit(x.where("half = 0"))
-    chosen = Selector(_trees(model), {})
-    for g in GENERATORS:
-        scored = rows.where((F.col("half") == 1) & (F.col("generator") == KINDS.index(g))).select(F.round(chosen.margin(F.col("f")), 6).alias("m"), "label").groupBy("m").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("m")).collect()
-        pos = total = 0
-        chosen.thresholds[g] = None
-        for r in scored:  # one row for each combination of leaves: bounded by the trees
-            pos, total = pos + r["pos"], total + r["n"]
-            if pos >= precision * total and pos:
-                chosen.thresholds[g] = r["m"] - 1e-6
-    return chosen
-
-
-def held_out(docs: DataFrame, selector: Selector, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    x = rows.select("half", "label", F.col("n").cast("double").alias("n"), array_to_vector(F.array(*[F.col(f"f.{f}") for f in FEATURES])).alias("features"))
+    model = GBTClassifier(labelCol="label", weightCol="n", maxIter=12, maxDepth=3, maxBins=BINS, stepSize=0.3, seed=5).fit(x.where("half = 0"))
+    trees = _trees(model)
+    margins = rows.where("half = 1").select("generator", F.round(Selector(trees, {}).margin(F.col("f")), 6).alias("m"), "label", "n")
+    # One row for each combination of leaves: bounded by the trees.
+    sums = margins.groupBy("generator", "m").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum("n").alias("n"))
+    from_here = Window.partitionBy("generator").orderBy(F.desc("m"))
+    ranked = sums.select("generator", "m", F.sum("pos").over(from_here).alias("pos"), F.sum("n").over(from_here).alias("n"))
+    least = {KINDS[r["generator"]]: r["m"] - 1e-6 for r in ranked.where((F.col("pos") > 0) & (F.col("pos") >= precision * F.col("n"))).groupBy("generator").agg(F.min("m").alias("m")).collect()}
+    return Selector(trees, {g: least.get(g) for g in GENERATORS})
+
+
+def held_out(docs: DataFrame, selector: Selector, *, sample_rows: int | None = None) -> DataFrame:
     """By generator, of the half that the trees did not see: planted corruptions, those proposed, those selected, and harmless strings selected."""
     names = F.array(*[F.lit(k) for k in KINDS])
     least = reduce(lambda other, g: F.when(F.col("generator") == KINDS.index(g), F.lit(selector.thresholds.get(g))).otherwise(other), GENERATORS, F.lit(None).cast("double"))
     picked = F.coalesce((selector.margin(F.col("f")) >= least) & F.col("f").isNotNull(), F.lit(False)) if selector.trees else F.lit(False)
     rows = _scored_plants(docs, sample_rows).where("half = 1").withColumn("picked", picked)
-    count = lambda when: F.count(F.when(when, 1))
+    count = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
     positive = F.col("label") == 1
     out = rows.groupBy("generator").agg(count(positive).alias("planted"), count(positive & F.col("f").isNotNull()).alias("proposed"), count(positive & F.col("picked")).alias("selected"), count(~positive & F.col("picked")).alias("false_picks"))
     return out.select(F.get(names, F.col("generator")).alias("generator"), "planted", "proposed", "selected", "false_picks")

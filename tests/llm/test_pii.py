@@ -143,3 +143,12 @@ def test_trees_carry_context_to_what_fails_the_validator(spark):
     new = ["please call 0305550001 today", "we sold part 0305550001 today", "please call 0305550001 today"]
     rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), chosen).collect()}
     assert rows[0].spans == "number:12:22" == rows[2].spans and rows[1].spans == "" and rows[0].n_added == 1 and rows[0].n_phone == 0
+
+
+def test_fit_takes_every_span_of_every_document(spark):
+    texts = [f"call +1555000{i:04} or write to a{i}@mail{i}.org" for i in range(300)] + [" ".join(f"see +1777000{i:04} now" for i in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plants = pii.planted(docs).where("label = 1").groupBy("generator").count().collect()
+    assert {pii.KINDS[r.generator]: r["count"] for r in plants} == {"contact": 3 * 300, "number": 3 * 340}
+    rows = pii._scored_plants(docs, None)
+    assert rows.where("label = 1").agg({"n": "sum"}).first()[0] == 3 * 640 and rows.count() < 1000
